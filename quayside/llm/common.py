@@ -5,9 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +70,18 @@ def numbered(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFr
         (F.row_number().over(inside) - 1 + F.col("__o_n")).alias("__rank"),
         *[(F.sum(c).over(running) + F.col(f"__o_s_{k}")).alias(k) for k, c in sums.items()],
     )
+
+
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], kind: str) -> DataFrame:
+    """doc_id and, for each row, the columns of kind that a function gives for its text. make() runs once a task, so what
+    it keeps is bounded by itself; ids pass by unchanged, nulls included."""
+    schema = StructType.fromDDL(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kind}")
+    arrow = to_arrow_schema(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = make()
+        for b in batches:
+            cols = list(zip(*run(b.column("text").to_pylist()), strict=True)) or [()] * (len(arrow) - 1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(cols, list(arrow)[1:], strict=True)]], names=arrow.names)
+
+    return docs.select("doc_id", "text").mapInArrow(each, schema)
