@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 512  #: candidates of a shard that are scored in full first, for a threshold
+SAMPLE = 1024  #: candidates of a shard that are scored in full first, for a threshold
+DENSE = 0.03  #: part of the candidates still competitive over which the rest is probed for the whole shard
 
 
 def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -41,13 +42,10 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer a @ b.T: in floats where no sum can leave their whole numbers, else in int64."""
+def kind_of(a: np.ndarray, b: np.ndarray) -> type:
+    """A type in which all sums of a @ b.T are exact: floats where no sum can leave their whole numbers, else int64."""
     reach = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    for kind, most in ((np.float32, 2**24), (np.float64, 2**53)):
-        if reach < most:
-            return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
-    return a @ b.T
+    return np.float32 if reach < 2**23 else np.float64 if reach < 2**52 else np.int64
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -59,29 +57,40 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))
 
 
-def maxscore(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, step: int = 128) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def maxscore(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, step: int = 32) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query of a block: its id, and its k best of the shard (ids, scores)."""
-    low, high = v.min(axis=0), v.max(axis=0)
+    kind = kind_of(q, v)
+    low, high, fast, first = v.min(axis=0), v.max(axis=0), np.ascontiguousarray(v.T.astype(kind)), v[:SAMPLE].T.astype(kind)
     for at in range(0, len(q), step):
         part, own = q[at : at + step], q_ids[at : at + step]
         least = np.where(part >= 0, part * low, part * high)  # of each term's score
         bound = np.where(part >= 0, part * high, part * low) - least
         base = least.sum(axis=1)
-        seen = product(part, v[:SAMPLE]) - base[:, None]
+        seen = (part.astype(kind) @ first).astype(np.int64) - base[:, None]
         seen[own[:, None] == v_ids[None, :SAMPLE]] = -1
         few = seen.shape[1] < k
         theta = np.full(len(part), -1) if few else np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k]
         order = np.argsort(bound, axis=1, kind="stable")
         spare = np.take_along_axis(np.cumsum(np.take_along_axis(bound, order, 1), axis=1), np.argsort(order, axis=1), 1)
         essential = spare >= np.maximum(theta, 0)[:, None]  # the others together stay below theta
-        rest = np.where(essential, 0, bound).sum(axis=1)
-        sums = product(np.where(essential, part, 0), v) - np.where(essential, least, 0).sum(axis=1)[:, None]
+        probed = np.where(essential, 0, part)
+        sums = np.where(essential, part, 0).astype(kind) @ fast
+        need = theta - np.where(essential, 0, bound).sum(axis=1) + np.where(essential, least, 0).sum(axis=1)
+        competitive = sums >= need.astype(kind)[:, None]
+        if dense := np.count_nonzero(competitive) > DENSE * competitive.size:  # cheaper for all at once
+            sums += probed.astype(kind) @ fast
+            competitive &= sums >= (theta + base).astype(kind)[:, None]
+        row, col = np.nonzero(competitive)
+        other = v_ids[col] != own[row]
+        row, col = row[other], col[other]
+        exact = sums[row, col].astype(np.int64)
+        for i in range(0, 0 if dense else len(row), 65536):
+            exact[i : i + 65536] += np.einsum("ij,ij->i", probed[row[i : i + 65536]], v[col[i : i + 65536]])
+        ends = np.searchsorted(row, np.arange(len(part) + 1))
         for i in range(len(part)):
-            open_ = np.flatnonzero((sums[i] + rest[i] >= theta[i]) & (v_ids != own[i]))
-            more = ~essential[i]
-            exact = sums[i][open_] + (product(part[i : i + 1, more], v[np.ix_(open_, more)])[0] - least[i][more].sum() if more.any() else 0)
-            top = best(exact, v_ids[open_], k)
-            yield int(own[i]), v_ids[open_][top], exact[top] + base[i]
+            here = slice(ends[i], ends[i + 1])
+            top = best(exact[here], v_ids[col[here]], k)
+            yield int(own[i]), v_ids[col[here]][top], exact[here][top]
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, *, block: int = 2048, shard: int = 8192) -> DataFrame:
