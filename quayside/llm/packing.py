@@ -13,6 +13,7 @@ one by one; a null doc_id stays null; only documents longer than the capacity ar
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,27 +29,76 @@ WORDS_KEPT = 300_000  #: of a worker's cache of word ids; it is emptied when it
 
 
 class WordIds(dict):
-    """The ids of a stretch of text without spaces, as little-endian unsigned 32-bit integers, kept once asked for.
+    """The ids of the tokenizer's words, as little-endian unsigned 32-bit integers, kept once asked for.
 
-    The tokenizer never joins over a space or line end, so ids of a text are those of its stretches, in order.
+    The tokenizer lower-cases a text and cuts it into words by a pattern; merges stay within a word and mark its end, so
+    words can be asked for together, apart by spaces, and told apart again. Texts in Latin-1 are cut here; any other, and
+    those with a special token, go to the tokenizer as they are.
     """
 
+    #: The tokenizer's pattern for words, with its classes of characters written out for Latin-1.
+    SPACE, LETTER, DIGIT = r"\t\n\x0b\x0c\r \x85\xa0", r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+    WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) > WORDS_KEPT:
-                self.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        self.tokenizer, self.before = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def add(self, words: list[str]) -> None:
+        if len(self) > WORDS_KEPT:
+            self.before = dict(self)
+            self.clear()
+        old = {w: x for w in words if (x := self.before.get(w)) is not None}
+        self.update(old)
+        new = [w for w in words if w not in old]
+        if not new:
+            return
+        ids = self.encode(" ".join(new))
+        raw = ids.tobytes()
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(new):
+            for w, a, b in zip(new, [0, *(4 * ends[:-1]).tolist()], (4 * ends).tolist(), strict=True):
+                self[w] = raw[a:b]
+        else:
+            for w in new:
+                self[w] = self.encode(w).tobytes()
+
+    def words(self, text: str) -> list[str] | None:
+        if "<|" in text:
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return self.WORD.findall(text.lower())
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        cut = [self.words(t) for t in texts]
+        every: set[str] = set()
+        for words in cut:
+            every.update(words or ())
+        if new := [w for w in every if w not in self]:
+            self.add(new)
+        out = []
+        for text, words in zip(texts, cut, strict=True):
+            if words is not None:
+                try:
+                    out.append(b"".join(map(self.__getitem__, words)))
+                    continue
+                except KeyError:  # the cache was emptied meanwhile
+                    self.add([w for w in set(words) if w not in self])
+                    out.append(b"".join([self.get(w) or self.encode(w).tobytes() for w in words]))
+                    continue
+            out.append(self.encode(text).tobytes())
+        return out
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, *, end: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -57,12 +107,13 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, end: int = 1, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tail = WordIds(tokenizer), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            rows = []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                raw = (words.ids(text) if text else b"") + tail
-                for i, start in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[start : start + 4 * capacity]
-                    rows.append((at, i, start // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
+            rows, texts = [], [t or "" for t in batch.column("text").to_pylist()]
+            for first in range(0, len(texts), 128):
+                for at, raw in enumerate(words.ids(texts[first : first + 128]), first):
+                    raw += tail  # noqa: PLW2901
+                    for i, start in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[start : start + 4 * capacity]
+                        rows.append((at, i, start // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
             at, piece, *cols = zip(*rows, strict=True) if rows else ((),) * 6
             found = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in cols[:3]]]
             if keep_ids:

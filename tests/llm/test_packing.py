@@ -27,14 +27,20 @@ def laid_out(pieces, capacity):
     return len(at)
 
 
-def test_ids_are_the_tokenizers(spark):
+def test_ids_are_the_tokenizers(monkeypatch):
     t = Tokenizer.from_file(PATH)
     words = packing.WordIds(PATH)
     odd = ["", "a  b", " x ", "It's we're I'LL\tdon't", "<|endoftext|> a<|startoftext|>b", "é ́x à", "  x\x1cy\x85z", "ΣΑΣ ΟΔΟΣ. İstanbul", "日本 語\n\n\r\nq", "12 345 3.14", "😀‍😀 fi ﬁ Å Å"]
     rng = random.Random(3)
     odd += ["".join(rng.choice("ab Σ'\n\té́ <|>.1日 ") for _ in range(60)) for _ in range(200)]
-    for text in odd + [r[1] for r in rows() if r[1]]:
-        assert np.frombuffer(words.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = odd + [r[1] for r in rows() if r[1]]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert words.ids(texts) == want
+    monkeypatch.setattr(packing, "WORDS_KEPT", 20)  # the cache is emptied all the time
+    small = packing.WordIds(PATH)
+    assert [x for i in range(0, len(texts), 9) for x in small.ids(texts[i : i + 9])] == want
+    for text in texts:
+        assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_packs_every_document_once(spark):
