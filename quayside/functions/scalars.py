@@ -147,6 +147,11 @@ def checksum(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
+def to_base64(data: Column) -> Column:
+    """Without line ends."""
+    return F.regexp_replace(F.base64(data), "[\\r\\n]", "")
+
+
 # --- numbers and sizes -------------------------------------------------------------------------------------------------
 
 

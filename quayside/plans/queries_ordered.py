@@ -167,7 +167,7 @@ def l1_tier_choice(spark: SparkSession, sf: str) -> DataFrame:
     return O.tier_choice(_tiers(spark, sf), at(EVENTS_NOW))
 
 
-_STREAK = """, l AS (SELECT *, lag(offset + size) OVER (PARTITION BY path ORDER BY seq) AS was FROM range_reads), m AS (SELECT *, coalesce(was > 0 AND abs(offset - was) <= 1048576, false) AS follows FROM l),
+_STREAK = """, l AS (SELECT *, lag("offset" + size) OVER (PARTITION BY path ORDER BY seq) AS was FROM range_reads), m AS (SELECT *, coalesce(was > 0 AND abs("offset" - was) <= 1048576, false) AS follows FROM l),
 i AS (SELECT *, sum(CASE WHEN follows THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM m), st AS (SELECT path, seq, row_number() OVER (PARTITION BY path, g ORDER BY seq) - 1 AS streak FROM i)"""
 
 

@@ -40,7 +40,7 @@ def h_labels(spark: SparkSession, sf: str) -> DataFrame:
 def h_hashes(spark: SparkSession, sf: str) -> DataFrame:
     """FNV-1a of 32 and 64 bits, SHA-256 and base64."""
     t = logical(spark, sf, "peers")
-    return t.select("id", S.fnv1a_32(c("id")).alias("fnv32"), S.fnv1a_64(c("id")).alias("inode"), S.checksum(c("address")).alias("sha256"), F.base64(F.encode("address", "UTF-8")).alias("b64"))
+    return t.select("id", S.fnv1a_32(c("id")).alias("fnv32"), S.fnv1a_64(c("id")).alias("inode"), S.checksum(c("address")).alias("sha256"), S.to_base64(F.encode("address", "UTF-8")).alias("b64"))
 
 
 def h_times(spark: SparkSession, sf: str) -> DataFrame:
