@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
-LOCATION = StructType.fromDDL("peer_id STRING, storage_tier STRING, storage_path STRING, file_size BIGINT, is_chunked BOOLEAN, chunk_size BIGINT, chunks ARRAY<STRUCT<index: INT, peer_id: STRING, chunk_id: STRING>>")
-PEERS = StructType.fromDDL("id STRING, address STRING, grpc_address STRING, nvme_path STRING, available_space BIGINT, used_space BIGINT, status STRING, network_speed_mbps DOUBLE, network_latency_ms DOUBLE, labels MAP<STRING, STRING>")
-REPLICAS = StructType.fromDDL("file_path STRING, seq BIGINT").add("peer_id", "string")
-REPLICAS = StructType([*REPLICAS.fields, *[f for f in LOCATION.fields if f.name != "peer_id"]])
-STATE = StructType().add("peers", MapType(StringType(), PEERS)).add("files", MapType(StringType(), ArrayType(LOCATION)))
-MANIFEST = StructType.fromDDL("file_path STRING, size BIGINT, is_chunked BOOLEAN, chunk_count BIGINT")
-BENCHMARK = StructType.fromDDL("run BIGINT, commit STRING, read_mbps DOUBLE, nvme_share_pct DOUBLE, peer_share_pct DOUBLE, cloud_share_pct DOUBLE")
+_KINDS = {"str": StringType(), "int": IntegerType(), "long": LongType(), "double": DoubleType(), "bool": BooleanType()}
+
+
+def row(**fields: str | DataType) -> StructType:
+    return StructType([StructField(k, _KINDS[v] if isinstance(v, str) else v) for k, v in fields.items()])
+
+
+CHUNK = row(index="int", peer_id="str", chunk_id="str")
+LOCATION = row(peer_id="str", storage_tier="str", storage_path="str", file_size="long", is_chunked="bool", chunk_size="long", chunks=ArrayType(CHUNK))
+REPLICAS = StructType([*row(file_path="str", seq="long").fields, *LOCATION.fields])
+PEERS = row(
+    id="str", address="str", grpc_address="str", nvme_path="str", available_space="long", used_space="long", status="str",
+    network_speed_mbps="double", network_latency_ms="double", labels=MapType(StringType(), StringType()),
+)
+STATE = row(peers=MapType(StringType(), PEERS), files=MapType(StringType(), ArrayType(LOCATION)))
+MANIFEST = row(file_path="str", size="long", is_chunked="bool", chunk_count="long")
+BENCHMARK = row(run="long", commit="str", read_mbps="double", nvme_share_pct="double", peer_share_pct="double", cloud_share_pct="double")
 
 
 def with_corrupt(kind: StructType) -> StructType:
-    return StructType(list(kind.fields)).add("_corrupt_record", StringType())
+    return StructType([*kind.fields, StructField("_corrupt_record", StringType())])

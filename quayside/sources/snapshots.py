@@ -92,7 +92,8 @@ def read_node_labels(spark: SparkSession, path: str, spec: dict[str, str]) -> Da
 
 
 def read_objects(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
-    """(path, modified, length, data) of files; the scheme of the path (file, s3a, abfss, gs) picks the store."""
+    """(path, modified, length, data) of files; the scheme of the path (file, s3a, abfss, gs) picks the store.
+    Spark plans no read of a file without bytes, so those are not among them."""
     t = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(path)
     return t.select("path", c("modificationTime").alias("modified"), "length", c("content").alias("data"))
 
