@@ -98,6 +98,11 @@ def select_labels(labels: Column, spec: dict[str, str]) -> Column:
     return F.transform_keys(kept, lambda k, v: F.element_at(names, k))
 
 
+def union_labels(a: Column, b: Column) -> Column:
+    """Labels of both, those of b where both have one."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
 def label_string(labels: Column) -> Column:
     """Sorted 'k=v, k=v'."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
@@ -186,6 +191,16 @@ def tier_number(name: Column) -> Column:
     return F.when(name == "nvme", 1).when(name == "peer", 2).otherwise(3)
 
 
+def storage_of(tier: Column) -> Column:
+    """The store that serves a tier's number; unknown ones are served by the fast one."""
+    return F.when(tier == 2, "peer").when(tier == 3, "cloud").otherwise("nvme")
+
+
+def jittered(x: Column, share: float = 0.5, seed: int = 1) -> Column:
+    """X less or more by up to a share, at random."""
+    return x * (1.0 - share + 2 * share * F.rand(seed))
+
+
 def mib_per_second(size: Column, nanos: Column) -> Column:
     """0 where nothing was read or no time passed."""
     return F.when((size <= 0) | (nanos <= 0), F.lit(0.0)).otherwise(size.cast("double") / MIB / (nanos.cast("double") / 1e9))

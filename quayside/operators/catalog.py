@@ -76,7 +76,7 @@ def holder_partition(peers: DataFrame, replicas: DataFrame) -> DataFrame:
     paths = held.select("file_path").distinct()
     live = active_peers(peers).select("id")
     known = held.join(live, "id")
-    rest = paths.join(F.broadcast(live))  # each path ranks each peer: that is the result
+    rest = paths.crossJoin(live)  # each path ranks each peer: that is the result; ask for few paths
     return rest.join(known.withColumn("held", F.lit(True)), ["file_path", "id"], "left").select("file_path", "id", F.when(c("held"), 0).otherwise(1).alias("fallback"))
 
 
@@ -89,7 +89,7 @@ def seed_targets(peers: DataFrame, replicas: DataFrame, path: str, source: str)
 def seed_sources(peers: DataFrame, replicas: DataFrame) -> DataFrame:
     """Per path the active holder that came first."""
     live = active_peers(peers).select(c("id").alias("peer_id"))
-    return holders(replicas).join(F.broadcast(live), "peer_id").groupBy("file_path").agg(F.min_by("peer_id", "seq").alias("source"))
+    return holders(replicas).join(live, "peer_id").groupBy("file_path").agg(F.min_by("peer_id", "seq").alias("source"))
 
 
 def merge_views(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -303,3 +303,32 @@ def retained_jobs(jobs: DataFrame, most: int = 32) -> DataFrame:
     n = running.agg(F.count("*").alias("n"))
     ranked = done.withColumn("r", F.row_number().over(order)).join(F.broadcast(n)).where(c("r") <= most - c("n")).drop("r", "n")  # most rows and one row
     return running.unionByName(ranked)
+
+
+def live_sessions(events: DataFrame) -> DataFrame:
+    """Volumes that are in use, with the root and pin of their first reference of now."""
+    from quayside.operators.ordered import session_counts
+
+    last = events.where("op = 'create'").groupBy("volume_id").agg(F.max_by(F.struct("root_path", "pinned"), "seq").alias("r"))
+    return session_counts(events).where("refs > 0").join(last, "volume_id").select("volume_id", "refs", "r.root_path", "r.pinned")
+
+
+def pinned_prefixes(sessions: DataFrame) -> DataFrame:
+    """Roots that live sessions pin."""
+    return sessions.where("pinned AND root_path <> ''").select("root_path").distinct()
+
+
+def restore_state(now: DataFrame, saved: DataFrame, keys: list[str], merge: bool) -> DataFrame:
+    """The saved rows alone, or with merge those and the rows of now under other keys."""
+    return saved if not merge else saved.unionByName(now.join(saved.select(*keys), keys, "left_anti"))
+
+
+def seed_plan(peers: DataFrame, replicas: DataFrame, percent: int) -> DataFrame:
+    """Copies (file_path, source, target) that bring files to a percentage of the active peers that lack
+    them, lowest ids first. Peers are numbered per file."""
+    from quayside.operators.selection import share_of
+
+    spread = holder_partition(peers, replicas).where("fallback = 1")
+    w = Window.partitionBy("file_path")
+    ranked = spread.withColumn("i", F.row_number().over(w.orderBy("id"))).withColumn("n", F.count("*").over(w)).where(c("i") <= share_of(c("n"), percent))
+    return ranked.join(seed_sources(peers, replicas), "file_path").select("file_path", "source", c("id").alias("target"))

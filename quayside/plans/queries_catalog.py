@@ -371,3 +371,63 @@ def w14_retained_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """The jobs of the first 200 updates."""
     t = logical(spark, sf, "warm_jobs").where("seq < 200").withColumn("status", F.expr("CASE WHEN seq % 8 = 7 AND seq % 5 = 0 THEN 'running' ELSE status END"))
     return K.retained_jobs(K.latest_jobs(t).select("id", "status", "updated_at"), 16).select("id", "status")
+
+
+@query("SELECT seq, CASE seq % 6 WHEN 2 THEN 'peer' WHEN 3 THEN 'cloud' ELSE 'nvme' END AS store, true AS jitter_ok FROM disks", "disks")
+def a27_tier_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """A27, H34."""
+    j = S.jittered(F.lit(15.0))
+    return logical(spark, sf, "disks").select("seq", S.storage_of(c("seq") % 6).alias("store"), ((j >= 7.5) & (j <= 22.5)).alias("jitter_ok"))
+
+
+@query("SELECT id, 'pool=' || CASE WHEN zone = 'a' THEN 'node' ELSE pool END || ', zone=' || zone AS labels FROM peers", "peers")
+def u5_union_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """U5."""
+    node = F.when(c("zone") == "a", F.create_map(F.lit("pool"), F.lit("node"))).otherwise(F.create_map().cast("map<string,string>"))
+    return logical(spark, sf, "peers").select("id", S.label_string(S.union_labels(c("labels"), node)).alias("labels"))
+
+
+@query("SELECT id, status, used_space, pool FROM peers", "peers")
+def h37_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows to JSON text and back, by a declared type."""
+    from quayside import schema
+
+    t = logical(spark, sf, "peers")
+    text = t.select(F.to_json(F.struct(*[x for x in schema.PEERS.names])).alias("j"))
+    return text.select(F.from_json("j", schema.PEERS).alias("p")).select("p.id", "p.status", "p.used_space", F.element_at("p.labels", F.lit("pool")).alias("pool"))
+
+
+@query(
+    """, r AS (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY seq) AS i FROM sessions),
+f(volume_id, i, refs) AS (SELECT volume_id, 0::BIGINT, 0 FROM (SELECT DISTINCT volume_id FROM r) UNION ALL SELECT r.volume_id, r.i, CASE WHEN op = 'create' THEN refs + 1 ELSE greatest(refs - 1, 0) END FROM f JOIN r ON r.volume_id = f.volume_id AND r.i = f.i + 1),
+n AS (SELECT volume_id, CAST(arg_max(refs, i) AS BIGINT) AS refs FROM f GROUP BY volume_id), l AS (SELECT volume_id, arg_max(root_path, seq) AS root_path, arg_max(pinned, seq) AS pinned FROM sessions WHERE op = 'create' GROUP BY volume_id)
+SELECT volume_id, refs, root_path, pinned FROM n JOIN l USING (volume_id) WHERE refs > 0""",
+    "sessions",
+)
+def d31_live_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """D31."""
+    return K.live_sessions(logical(spark, sf, "sessions"))
+
+
+@query(
+    """, s AS (SELECT id, 'saved' AS origin FROM peers WHERE zone = 'a') SELECT 'replace' AS kind, id, origin FROM s UNION ALL SELECT 'merge', id, origin FROM s UNION ALL SELECT 'merge', id, 'now' FROM peers WHERE pool = 'gpu' AND id NOT IN (SELECT id FROM s)""", "peers"
+)
+def j11_restore(spark: SparkSession, sf: str) -> DataFrame:
+    """J11."""
+    p = logical(spark, sf, "peers")
+    saved, now = p.where("zone = 'a'").select("id", F.lit("saved").alias("origin")), p.where("pool = 'gpu'").select("id", F.lit("now").alias("origin"))
+    return K.restore_state(now, saved, ["id"], False).select(F.lit("replace").alias("kind"), "*").union(K.restore_state(now, saved, ["id"], True).select(F.lit("merge").alias("kind"), "*"))
+
+
+@query(
+    """, held AS (SELECT DISTINCT file_path, peer_id AS id FROM replicas WHERE storage_tier <> 'cloud' AND starts_with(file_path, '/models/m4/')), act AS (SELECT id FROM peers WHERE status = 'active'),
+lack AS (SELECT p.file_path, a.id FROM (SELECT DISTINCT file_path FROM held) p CROSS JOIN act a ANTI JOIN held h ON h.file_path = p.file_path AND h.id = a.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY id) AS i, count(*) OVER (PARTITION BY file_path) AS n FROM lack),
+src AS (SELECT file_path, arg_min(peer_id, seq) AS source FROM replicas WHERE storage_tier <> 'cloud' AND peer_id IN (SELECT id FROM act) GROUP BY file_path)
+SELECT file_path, source, id AS target FROM n JOIN src USING (file_path) WHERE i <= greatest(1, ceil(n * 5 / 100))""",
+    "replicas", "peers",
+)
+def j14_seed_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """J14, D25, F6."""
+    t = K.under_prefix(logical(spark, sf, "replicas"), "/models/m4/")
+    return K.seed_plan(logical(spark, sf, "peers"), t, 5)
