@@ -89,7 +89,7 @@ def seed_targets(peers: DataFrame, replicas: DataFrame, path: str, source: str)
 def seed_sources(peers: DataFrame, replicas: DataFrame) -> DataFrame:
     """Per path the active holder that came first."""
     live = active_peers(peers).select(c("id").alias("peer_id"))
-    return holders(replicas).join(live, "peer_id").groupBy("file_path").agg(F.min_by("peer_id", "seq").alias("source"))
+    return holders(replicas).join(live, "peer_id").groupBy("file_path").agg(F.min_by("peer_id", F.struct("seq", "peer_id")).alias("source"))
 
 
 def merge_views(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def missing_chunks(files: DataFrame, present: DataFrame) -> DataFrame:
 
 def resolve_chunked(paths: DataFrame, local: DataFrame, remote: DataFrame, replicas: DataFrame, stride: int) -> DataFrame:
     """Size and stride of each path: own entry, else the cached view, else the first chunked replica."""
-    first = replicas.where("is_chunked").groupBy("file_path").agg(F.min_by(F.struct("file_size", "chunk_size"), "seq").alias("f"))
+    first = replicas.where("is_chunked").groupBy("file_path").agg(F.min_by(F.struct("file_size", "chunk_size"), F.struct("seq", "peer_id", "storage_tier")).alias("f"))
     out = paths.join(local.select("file_path", c("size").alias("a")), "file_path", "left").join(remote.select("file_path", c("size").alias("b")), "file_path", "left").join(first, "file_path", "left")
     found = F.coalesce("a", "b", c("f.file_size"))
     origin = F.when(c("a").isNotNull(), "local").when(c("b").isNotNull(), "view").when(c("f").isNotNull(), "replica").otherwise("none")
@@ -198,8 +198,8 @@ def warm_targets(replicas: DataFrame, prefix: str, default: int) -> DataFrame:
 
 
 def first_locations(replicas: DataFrame) -> DataFrame:
-    """The first replica of each path."""
-    return replicas.groupBy("file_path").agg(F.min_by(F.struct("peer_id", "storage_tier", "file_size"), "seq").alias("r")).select("file_path", "r.*")
+    """The first replica of each path; equal places go by peer and tier."""
+    return replicas.groupBy("file_path").agg(F.min_by(F.struct("peer_id", "storage_tier", "file_size"), F.struct("seq", "peer_id", "storage_tier")).alias("r")).select("file_path", "r.*")
 
 
 def holder_counts(replicas: DataFrame, me: str | None = None) -> DataFrame:

@@ -106,7 +106,7 @@ def c2_seed_targets(spark: SparkSession, sf: str) -> DataFrame:
     return K.seed_targets(logical(spark, sf, "peers"), logical(spark, sf, "replicas"), "/models/m5/f5.bin", "peer-00002").select("id")
 
 
-@query("SELECT file_path, arg_min(peer_id, seq) AS source FROM replicas WHERE storage_tier <> 'cloud' AND peer_id IN (SELECT id FROM peers WHERE status = 'active') GROUP BY file_path", "replicas", "peers")
+@query("SELECT file_path, arg_min(peer_id, (seq, peer_id)) AS source FROM replicas WHERE storage_tier <> 'cloud' AND peer_id IN (SELECT id FROM peers WHERE status = 'active') GROUP BY file_path", "replicas", "peers")
 def c3_seed_sources(spark: SparkSession, sf: str) -> DataFrame:
     """C3."""
     return K.seed_sources(logical(spark, sf, "peers"), logical(spark, sf, "replicas"))
@@ -169,7 +169,7 @@ def c10_missing_chunks(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """, paths AS (SELECT DISTINCT file_path FROM replicas), a AS (SELECT file_path, max(file_size) AS size FROM replicas WHERE storage_tier = 'nvme' AND l_linenumber = 1 GROUP BY file_path),
 b AS (SELECT file_path, max(file_size) AS size FROM replicas WHERE storage_tier = 'peer' AND l_linenumber = 5 GROUP BY file_path),
-f AS (SELECT file_path, arg_min(file_size, seq) AS size, arg_min(chunk_size, seq) AS stride FROM replicas WHERE is_chunked GROUP BY file_path)
+f AS (SELECT file_path, arg_min(file_size, (seq, peer_id, storage_tier)) AS size, arg_min(chunk_size, (seq, peer_id, storage_tier)) AS stride FROM replicas WHERE is_chunked GROUP BY file_path)
 SELECT file_path, coalesce(a.size, b.size, f.size) AS size, CASE WHEN coalesce(stride, 0) > 0 THEN stride ELSE 4194304 END AS stride,
   CASE WHEN a.size IS NOT NULL THEN 'local' WHEN b.size IS NOT NULL THEN 'view' WHEN f.size IS NOT NULL THEN 'replica' ELSE 'none' END AS origin
 FROM paths LEFT JOIN a USING (file_path) LEFT JOIN b USING (file_path) LEFT JOIN f USING (file_path)""",
@@ -244,7 +244,7 @@ def d5_warm_targets(spark: SparkSession, sf: str) -> DataFrame:
     return K.warm_targets(logical(spark, sf, "replicas"), "/models/m1", CHUNK)
 
 
-@query("SELECT file_path, arg_min(peer_id, seq) AS peer_id, arg_min(storage_tier, seq) AS storage_tier, arg_min(file_size, seq) AS file_size FROM replicas GROUP BY file_path", "replicas")
+@query("SELECT file_path, arg_min(peer_id, (seq, peer_id, storage_tier)) AS peer_id, arg_min(storage_tier, (seq, peer_id, storage_tier)) AS storage_tier, arg_min(file_size, (seq, peer_id, storage_tier)) AS file_size FROM replicas GROUP BY file_path", "replicas")
 def d6_first_locations(spark: SparkSession, sf: str) -> DataFrame:
     """D6."""
     return K.first_locations(logical(spark, sf, "replicas"))
@@ -335,7 +335,7 @@ def j5_delete_objects(spark: SparkSession, sf: str) -> DataFrame:
     return K.delete_objects(t, t.where("priority = '1-URGENT' AND tier = 'nvme'").select("file_path", "num_chunks")).select("file_path", "size")
 
 
-@query("SELECT CASE WHEN file_path = '/orders/o10.bin' THEN '/orders/new.bin' ELSE file_path END AS file_path, size FROM cache_entries WHERE file_path <> '/orders/new.bin'", "cache_entries")
+@query("SELECT CASE WHEN file_path = '/orders/o10.bin' OR starts_with(file_path, '/orders/o10.bin_chunk_') THEN replace(file_path, '/orders/o10.bin', '/orders/new.bin') ELSE file_path END AS file_path, size FROM cache_entries WHERE file_path <> '/orders/new.bin'", "cache_entries")
 def j6_rename(spark: SparkSession, sf: str) -> DataFrame:
     """J6."""
     return K.rename(logical(spark, sf, "cache_entries"), "/orders/o10.bin", "/orders/new.bin").select("file_path", "size")
@@ -343,13 +343,13 @@ def j6_rename(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """, seen AS (SELECT path, ts FROM remote_reads UNION ALL SELECT regexp_extract(path, '^(.+)_chunk_[0-9]+$', 1), ts FROM remote_reads WHERE regexp_matches(path, '_chunk_[0-9]+$')),
-f AS (SELECT file_path, arg_min(last_accessed, seq) AS last_accessed FROM replicas GROUP BY file_path), l AS (SELECT path AS file_path, max(ts) AS ts FROM seen GROUP BY path)
+f AS (SELECT file_path, arg_min(last_accessed, (seq, last_accessed)) AS last_accessed FROM replicas GROUP BY file_path), l AS (SELECT path AS file_path, max(ts) AS ts FROM seen GROUP BY path)
 SELECT file_path, coalesce(greatest(last_accessed, ts), last_accessed) AS last_accessed FROM f LEFT JOIN l USING (file_path)""",
     "replicas", "remote_reads",
 )
 def j9_touch(spark: SparkSession, sf: str) -> DataFrame:
     """J9."""
-    files = logical(spark, sf, "replicas").groupBy("file_path").agg(F.min_by("last_accessed", "seq").alias("last_accessed"))
+    files = logical(spark, sf, "replicas").groupBy("file_path").agg(F.min_by("last_accessed", F.struct("seq", "last_accessed")).alias("last_accessed"))
     return K.touch(files, logical(spark, sf, "remote_reads"))
 
 
@@ -423,7 +423,7 @@ def j11_restore(spark: SparkSession, sf: str) -> DataFrame:
     """, held AS (SELECT DISTINCT file_path, peer_id AS id FROM replicas WHERE storage_tier <> 'cloud' AND starts_with(file_path, '/models/m4/')), act AS (SELECT id FROM peers WHERE status = 'active'),
 lack AS (SELECT p.file_path, a.id FROM (SELECT DISTINCT file_path FROM held) p CROSS JOIN act a ANTI JOIN held h ON h.file_path = p.file_path AND h.id = a.id),
 n AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY id) AS i, count(*) OVER (PARTITION BY file_path) AS n FROM lack),
-src AS (SELECT file_path, arg_min(peer_id, seq) AS source FROM replicas WHERE storage_tier <> 'cloud' AND peer_id IN (SELECT id FROM act) GROUP BY file_path)
+src AS (SELECT file_path, arg_min(peer_id, (seq, peer_id)) AS source FROM replicas WHERE storage_tier <> 'cloud' AND peer_id IN (SELECT id FROM act) GROUP BY file_path)
 SELECT file_path, source, id AS target FROM n JOIN src USING (file_path) WHERE i <= greatest(1, ceil(n * 5 / 100))""",
     "replicas", "peers",
 )
