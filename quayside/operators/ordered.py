@@ -6,16 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions import scalars as S
+from quayside.operators.folds import admit, enter, fold_sorted, grant
 
 c = F.col
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], values: list[str], start: Column, step, finish) -> DataFrame:  # noqa: ANN001
-    """For each key the rows' values folded in order; the accumulator has a fixed size, the rows of a key are one array."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, *values)))
-    return df.groupBy(*keys).agg(F.aggregate(rows, start, step, finish).alias("__f")).select(*keys, "__f.*")
-
-
 def ewma(samples: DataFrame, keys: list[str], alpha: float = 0.3) -> DataFrame:
     """Of (ts, seq, ms, ok, miss): averages that weigh the last sample by alpha, the first as it is; misses are
     counted apart. The weight of the n-th last sample is alpha (1 - alpha)^n, the first's (1 - alpha)^n, so it is a sum
@@ -133,16 +128,8 @@ def reconcile(files: DataFrame, budget: int) -> DataFrame:
 
 
 def admitted(events: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
-    """Of (ts_us, seq): those let through, each at least gap_us after the last let through of its key. The
-    reference point moves only with those let through, so this is a fold; the accumulator is the list of them."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("seqs"))
-
-    def step(a: Column, x: Column) -> Column:
-        go = a["last"].isNull() | (x["ts_us"] - a["last"] >= gap_us)
-        return F.struct(F.when(go, x["ts_us"]).otherwise(a["last"]).alias("last"), F.when(go, F.concat(a["seqs"], F.array(x["seq"]))).otherwise(a["seqs"]).alias("seqs"))
-
-    out = ordered_fold(events, keys, ["ts_us", "seq"], [], start, step, lambda a: a)
-    return out.select(*keys, F.explode("seqs").alias("seq"))
+    """Of (ts_us, seq): those let through, each at least gap_us after the last let through of its key."""
+    return fold_sorted(events.select(*keys, "ts_us", "seq"), keys, ["ts_us", "seq"], admit(gap_us), (-1,), "seq bigint")
 
 
 def prefetch_reservation(asks: DataFrame, cached: DataFrame, budget: int) -> DataFrame:
@@ -162,34 +149,15 @@ def prefetch_outcomes(events: DataFrame) -> DataFrame:
 def leases(requests: DataFrame) -> DataFrame:
     """Of (key, seq, ts_us, peer_id, op, ttl_ms): for each request whether it is granted. Free or expired keys go to
     who asks, the holder renews, only the holder releases; at the instant of expiry a lease is free."""
-    start = F.struct(F.lit(None).cast("string").alias("holder"), F.lit(0).cast("bigint").alias("until"), F.array().cast("array<struct<seq:bigint,granted:boolean>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        free = a["holder"].isNull() | (x["ts_us"] >= a["until"])
-        mine = F.coalesce(a["holder"] == x["peer_id"], F.lit(False))
-        take = (x["op"] == "acquire") & (free | mine)
-        drop = (x["op"] == "release") & mine
-        until = x["ts_us"] + S.lease_ttl_ms(x["ttl_ms"]) * 1000
-        return F.struct(
-            F.when(take, x["peer_id"]).when(drop, F.lit(None)).otherwise(a["holder"]).alias("holder"), F.when(take, until).when(drop, F.lit(0)).otherwise(a["until"]).cast("bigint").alias("until"),
-            F.concat(a["out"], F.array(F.struct(x["seq"].alias("seq"), (take | drop).alias("granted")))).alias("out"),
-        )
-
-    out = ordered_fold(requests, ["key"], ["seq"], ["ts_us", "peer_id", "op", "ttl_ms"], start, step, lambda a: a)
-    return out.select("key", F.explode("out").alias("o")).select("key", "o.seq", "o.granted")
+    return fold_sorted(requests.select("key", "seq", "ts_us", "peer_id", "op", "ttl_ms"), ["key"], ["seq"], grant, ("", 0), "seq bigint, granted boolean")
 
 
 def gate(events: DataFrame, keys: list[str], capacity: int) -> DataFrame:
     """Of (seq, delta 1 or -1): starts that a gate of a capacity lets in or turns away. A turned-away start is not in
     flight, so what ends never goes below none."""
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).cast("bigint").alias("accepted"), F.lit(0).cast("bigint").alias("rejected"), F.lit(0).alias("peak"))
-
-    def step(a: Column, x: Column) -> Column:
-        enter, ok = x["delta"] > 0, a["now"] < capacity
-        now = F.when(enter & ok, a["now"] + 1).when(~enter, F.greatest(a["now"] - 1, F.lit(0))).otherwise(a["now"])
-        return F.struct(now.alias("now"), (a["accepted"] + F.when(enter & ok, 1).otherwise(0)).alias("accepted"), (a["rejected"] + F.when(enter & ~ok, 1).otherwise(0)).alias("rejected"), F.greatest(a["peak"], now).alias("peak"))
-
-    return ordered_fold(events, keys, ["seq"], ["delta"], start, step, lambda a: a).withColumnRenamed("now", "inflight")
+    each = fold_sorted(events.select(*keys, "seq", "delta"), keys, ["seq"], enter(capacity), (0,), "seq bigint, accepted boolean, enters boolean, inflight bigint")
+    n = lambda ok: F.count(F.when(c("enters") & ok, 1))
+    return each.groupBy(*keys).agg(F.max_by("inflight", "seq").alias("inflight"), n(c("accepted")).alias("accepted"), n(~c("accepted")).alias("rejected"), F.max("inflight").alias("peak"))
 
 
 def session_counts(events: DataFrame) -> DataFrame:

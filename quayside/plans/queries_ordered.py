@@ -350,7 +350,7 @@ def i8_lease_roles(spark: SparkSession, sf: str) -> DataFrame:
 f(node, i, now, acc, rej, peak) AS (SELECT node, 0::BIGINT, 0, 0::BIGINT, 0::BIGINT, 0 FROM (SELECT DISTINCT node FROM d)
   UNION ALL SELECT d.node, d.i, CASE WHEN delta < 0 THEN greatest(now - 1, 0) WHEN now < 8 THEN now + 1 ELSE now END, acc + CASE WHEN delta > 0 AND now < 8 THEN 1 ELSE 0 END, rej + CASE WHEN delta > 0 AND now >= 8 THEN 1 ELSE 0 END,
     greatest(peak, CASE WHEN delta > 0 AND now < 8 THEN now + 1 ELSE 0 END) FROM f JOIN d ON d.node = f.node AND d.i = f.i + 1)
-SELECT node, arg_max(now, i) AS inflight, max(acc) AS accepted, max(rej) AS rejected, max(peak) AS peak FROM f GROUP BY node""",
+SELECT node, CAST(arg_max(now, i) AS BIGINT) AS inflight, max(acc) AS accepted, max(rej) AS rejected, CAST(max(peak) AS BIGINT) AS peak FROM f GROUP BY node""",
     "read_events",
 )
 def i13_admission_gate(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,7 +30,8 @@ SELECT id, 'host-' || right(id, 5) || ':8081' AS address, 'host-' || right(id, 5
 FROM (SELECT 'peer-' || lpad(CAST(s_suppkey AS {d.text}), 5, '0') AS id, s_suppkey AS k, s_nationkey AS n FROM {d.table("supplier")}) s"""
 
 
-def file_locations(d) -> str:
+def _located(d, rows: str, seq: str) -> str:
+    """Replica rows from rows of lineitem (with a column seq if that is the name)."""
     return f"""
 SELECT *, file_size > {CHUNK} AS is_chunked, {d.chunk_list("CASE WHEN file_size > " + str(CHUNK) + " THEN l_linenumber % 4 ELSE 0 END")} AS chunks
 FROM (SELECT '/models/m' || CAST(l_partkey % 40 AS {d.text}) || '/f' || CAST(l_partkey AS {d.text}) || '.bin'
@@ -40,18 +41,22 @@ FROM (SELECT '/models/m' || CAST(l_partkey % 40 AS {d.text}) || '/f' || CAST(l_p
   '/mnt/' || CAST(l_partkey AS {d.text}) AS storage_path,
   CAST(CASE WHEN l_partkey % 50 = 7 THEN 0 ELSE ((l_partkey * 7919) % 1000) * 131072 + l_linenumber END AS BIGINT) AS file_size,
   l_shipdate AS last_accessed, CAST(CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE {CHUNK} END AS BIGINT) AS chunk_size,
-  CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq, l_linenumber
-  FROM {d.table("lineitem")}) l"""
+  CAST({seq} AS BIGINT) AS seq, l_linenumber
+  FROM {rows}) l"""
+
+
+def file_locations(d) -> str:
+    return _located(d, d.table("lineitem"), "l_orderkey * 10 + l_linenumber")
 
 
 def replicas(d) -> str:
-    """The catalog after all upserts: per (path, peer, tier) the last row, at the place of the first."""
-    cols = "file_path, peer_id, storage_tier, storage_path, file_size, last_accessed, is_chunked, chunks, chunk_size, l_linenumber"
-    return f"""
-SELECT {cols}, first_seq AS seq FROM (
-  SELECT {cols}, min(seq) OVER (PARTITION BY file_path, peer_id, storage_tier) AS first_seq,
-    row_number() OVER (PARTITION BY file_path, peer_id, storage_tier ORDER BY seq DESC, last_accessed DESC, file_size DESC, l_linenumber DESC) AS rn
-  FROM ({file_locations(d)}) f) u WHERE rn = 1"""
+    """The catalog after all upserts: per (path, peer, tier) the last row, at the place of the first. Rows are ranked by the
+    numbers that paths, peers and tiers are made of; only those that stay get their texts."""
+    w = "PARTITION BY l_partkey, CASE WHEN (l_orderkey + l_linenumber) % 10 = 0 THEN l_linenumber ELSE -1 END, l_suppkey, l_linenumber % 3"
+    n = "l_orderkey * 10 + l_linenumber"
+    ranked = f"""(SELECT * FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, min({n}) OVER ({w}) AS first_seq,
+  row_number() OVER ({w} ORDER BY {n} DESC, l_shipdate DESC, l_linenumber DESC) AS rn FROM {d.table("lineitem")}) u WHERE rn = 1) v"""
+    return _located(d, ranked, "first_seq")
 
 
 def read_events(d) -> str:

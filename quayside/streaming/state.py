@@ -16,15 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quayside.functions import scalars as S
-from quayside.operators.ordered import ordered_fold  # noqa: F401  (the batch twin's fold)
+from quayside.operators.folds import Fold, State, admit, average, beat, enter, grant, refer
 
 c = F.col
 LATE = "10 minutes"
 
-State = tuple
-Fold = Callable[[State, dict], tuple[State, dict | None]]
-
-
 def keyed_fold(events: DataFrame, key: str, fold: Fold, first: State, state_type: str, out_type: str, timeout_ms: int = 0) -> DataFrame:
     """Each event of a key meets the key's state; fold gives the next state and a row to give out, or None. A state not met
     for timeout_ms of processing time is dropped."""
@@ -48,77 +44,24 @@ def keyed_fold(events: DataFrame, key: str, fold: Fold, first: State, state_type
     return events.groupBy(key).applyInPandasWithState(run, f"{key} string, {out_type}", state_type, "append", wait)
 
 
-def admit(gap_us: int) -> Fold:
-    """W10, W11, I10."""
-
-    def fold(state: State, e: dict) -> tuple[State, dict | None]:
-        if state[0] < 0 or e["ts_us"] - state[0] >= gap_us:
-            return (e["ts_us"],), {"seq": e["seq"]}
-        return state, None
-
-    return fold
-
-
 def admitted_stream(events: DataFrame, key: str, gap_us: int) -> DataFrame:
     """W10, I10, live: of (key, seq, ts_us) those let through."""
     return keyed_fold(events.select(key, "seq", "ts_us"), key, admit(gap_us), (-1,), "last bigint", "seq bigint")
 
 
-def grant(state: State, e: dict) -> tuple[State, dict]:
-    """State (holder, until)."""
-    holder, until = state
-    ttl = 10_000 if e["ttl_ms"] <= 0 else min(e["ttl_ms"], 60_000)
-    mine = bool(holder) and holder == e["peer_id"]
-    if e["op"] == "acquire" and (not holder or e["ts_us"] >= until or mine):
-        return (e["peer_id"], e["ts_us"] + ttl * 1000), {"seq": e["seq"], "granted": True}
-    if e["op"] == "release" and mine:
-        return ("", 0), {"seq": e["seq"], "granted": True}
-    return state, {"seq": e["seq"], "granted": False}
-
-
 def lease_stream(requests: DataFrame) -> DataFrame:
     """I7, live."""
     return keyed_fold(requests.select("key", "seq", "ts_us", "peer_id", "op", "ttl_ms"), "key", grant, ("", 0), "holder string, until bigint", "seq bigint, granted boolean")
 
 
-def average(alpha: float = 0.3) -> Fold:
-    """State (ms, success, samples)."""
-
-    def fold(state: State, e: dict) -> tuple[State, dict]:
-        ms, ok, n = state
-        x, y = e["ms"], float(e["ok"])
-        ms, ok = (x, y) if n == 0 else (alpha * x + (1 - alpha) * ms, alpha * y + (1 - alpha) * ok)
-        return (ms, ok, n + 1), {"seq": e["seq"], "latency_ms": ms, "success": ok, "samples": n + 1}
-
-    return fold
-
-
 def ewma_stream(samples: DataFrame, key: str) -> DataFrame:
     """W1, I5, live: the averages after each sample (key, seq, ts_us, ms, ok)."""
     return keyed_fold(samples.select(key, "seq", "ts_us", "ms", "ok"), key, average(), (0.0, 0.0, 0), "ms double, ok double, n bigint", "seq bigint, latency_ms double, success double, samples bigint")
 
 
-def enter(capacity: int) -> Fold:
-    """State (in flight,)."""
-
-    def fold(state: State, e: dict) -> tuple[State, dict]:
-        n = state[0]
-        if e["delta"] < 0:
-            return (max(n - 1, 0),), {"seq": e["seq"], "accepted": True}
-        return ((n + 1,) if n < capacity else state), {"seq": e["seq"], "accepted": n < capacity}
-
-    return fold
-
-
 def gate_stream(events: DataFrame, key: str, capacity: int) -> DataFrame:
     """I13, live."""
-    return keyed_fold(events.select(key, "seq", "ts_us", "delta"), key, enter(capacity), (0,), "n bigint", "seq bigint, accepted boolean")
-
-
-def refer(state: State, e: dict) -> tuple[State, dict]:
-    """State (references,)."""
-    n = state[0] + 1 if e["op"] == "create" else max(state[0] - 1, 0)
-    return (n,), {"seq": e["seq"], "refs": n, "warm": e["op"] == "create" and n == 1}
+    return keyed_fold(events.select(key, "seq", "ts_us", "delta"), key, enter(capacity), (0,), "n bigint", "seq bigint, accepted boolean, enters boolean, inflight bigint")
 
 
 def session_stream(events: DataFrame) -> DataFrame:
@@ -126,13 +69,6 @@ def session_stream(events: DataFrame) -> DataFrame:
     return keyed_fold(events.select("volume_id", "seq", "ts_us", "op"), "volume_id", refer, (0,), "n bigint", "seq bigint, refs bigint, warm boolean")
 
 
-def beat(state: State, e: dict) -> tuple[State, dict]:
-    """State (speed, latency); a probe only overwrites where it is positive."""
-    speed = e["network_speed_mbps"] if e["network_speed_mbps"] > 0 else state[0]
-    latency = e["network_latency_ms"] if e["network_latency_ms"] > 0 else state[1]
-    return (speed, latency), {"seq": e["seq"], "status": e["status"], "network_speed_mbps": speed, "network_latency_ms": latency}
-
-
 def peer_stream(heartbeats: DataFrame) -> DataFrame:
     """I1, J1, live: a peer's row after each heartbeat."""
     cols = ("peer_id", "seq", "ts_us", "status", "network_speed_mbps", "network_latency_ms")
