@@ -15,21 +15,27 @@ _LABEL = r'([^=,\s][^=]*)="((?:[^"\\]|\\.)*)"'
 def parse_metrics(lines: DataFrame) -> DataFrame:
     """Of (line, ...) samples (name, labels, value, ...): comments, lines without a name or a number and unclosed labels
     are skipped, a time after the value is ignored, escapes in labels are undone; NaN and infinities are numbers."""
-    line = F.trim(F.translate(c("line"), "\t\r", "  "))
-    t = lines.withColumn("__l", line).where((c("__l") != "") & ~c("__l").startswith("#") & ~c("__l").startswith("{"))
-    labelled = F.contains(c("__l"), F.lit("{"))
-    whole = r"(?s)^([^{]*)\{(.*)\}([^}]*)$"
-    name = F.when(labelled, F.trim(F.regexp_extract("__l", whole, 1))).otherwise(F.regexp_extract("__l", r"^(\S+)\s", 1))
-    rest = F.trim(F.when(labelled, F.regexp_extract("__l", whole, 3)).otherwise(F.regexp_extract("__l", r"(?s)^\S+\s+(.*)$", 1)))
-    word = F.regexp_extract(rest, r"^(\S+)", 1)
-    value = F.when(word.isin("NaN", "nan"), F.lit(float("nan"))).when(word.isin("+Inf", "Inf"), F.lit(float("inf"))).when(word == "-Inf", F.lit(float("-inf"))).otherwise(word.try_cast("double"))
-    inside = F.when(labelled, F.regexp_extract("__l", whole, 2)).otherwise("")
-    keys = F.transform(F.regexp_extract_all(inside, F.lit(_LABEL), F.lit(1)), lambda x: F.trim(x))
-    values = F.transform(F.regexp_extract_all(inside, F.lit(_LABEL), F.lit(2)), lambda x: S.unescape_label(x))
-    out = t.select(*[x for x in lines.columns if x != "line"], name.alias("name"), keys.alias("__k"), values.alias("__v"), value.alias("value"))
+    own = [x for x in lines.columns if x != "line"]
+    t = lines.select(*own, F.trim(F.translate(c("line"), "\t\r", "  ")).alias("__l")).where((c("__l") != "") & ~c("__l").startswith("#") & ~c("__l").startswith("{"))
+    open_ = F.instr("__l", "{")
+    close = F.length("__l") - F.instr(F.reverse("__l"), "}") + 1  # of the last }, past the end if there is none
+    t = t.select(*own, "__l", open_.alias("__a"), F.when(open_ > 0, close).alias("__b")).where("__a = 0 OR (__b > __a AND __b <= length(__l))")
+    plain = F.split("__l", r"\s+", 2)
+    labelled = c("__a") > 0
+    t = t.select(
+        *own, F.trim(F.when(labelled, F.expr("substr(__l, 1, __a - 1)")).otherwise(plain[0])).alias("name"),
+        F.when(labelled, F.expr("substr(__l, __a + 1, __b - __a - 1)")).alias("__in"), F.trim(F.when(labelled, F.expr("substr(__l, __b + 1)")).otherwise(F.get(plain, F.lit(1)))).alias("__rest"),
+    )
+    # filters are pushed below the selects and bring their expressions with them, so the number is read in one step: the
+    # cast knows NaN, Inf, +Inf and -Inf
+    value = F.split("__rest", r"\s+", 2)[0].try_cast("double")
+    t = t.select(*own, "name", "__in", value.alias("value")).where("name <> '' AND value IS NOT NULL")
+    found = lambda i: F.coalesce(F.regexp_extract_all("__in", F.lit(_LABEL), F.lit(i)), F.array().cast("array<string>"))
+    t = t.select(*own, "name", "value", F.transform(found(1), lambda x: F.trim(x)).alias("__k"), F.transform(found(2), lambda x: F.when(F.contains(x, F.lit("\\")), S.unescape_label(x)).otherwise(x)).alias("__v"))
     last = F.filter(F.arrays_zip("__k", "__v"), lambda e, i: ~F.array_contains(F.slice(c("__k"), i + 2, F.size("__k")), e["__k"]))
-    labels = F.map_from_entries(F.transform(last, lambda e: F.struct(e["__k"], e["__v"])))
-    return out.where((c("name") != "") & c("value").isNotNull()).select(*[x for x in lines.columns if x != "line"], "name", labels.alias("labels"), "value")
+    again = F.map_from_entries(F.transform(last, lambda e: F.struct(e["__k"], e["__v"])))
+    labels = F.when(F.size(F.array_distinct("__k")) == F.size("__k"), F.map_from_arrays("__k", "__v")).otherwise(again)
+    return t.select(*own, "name", labels.alias("labels"), "value")
 
 
 def format_value(x: Column) -> Column:
