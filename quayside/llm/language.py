@@ -27,6 +27,7 @@ from quayside.llm.common import map_texts
 WORDS = re.compile(r"[^\W\d_]+")
 TOP = 300
 SAMPLE = 2000  #: expected labelled rows that a language's profile is learned from, at most
+LANGUAGES = 1000  #: languages learned at most, those with the most labelled rows; bounds what is broadcast
 UNKNOWN = "und"
 
 
@@ -77,7 +78,7 @@ def held_out(doc_id: Column) -> Column:
 def learn(labelled: DataFrame, *, top: int = TOP, sample: int = SAMPLE, seed: int = 3) -> Profiles:
     """Profiles from (doc_id, text, lang). The driver gets the languages' row counts and top n-grams of each language."""
     rows = labelled.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES))
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = rows.join(sizes, "lang").where(part < F.lit(float(sample)) / F.col("n")).select("lang", "text")
 
