@@ -3,7 +3,13 @@
 A rolling hash over the hashes of the last lines ends a chunk where it is 0 modulo a divisor, so an inserted or deleted
 line moves only the boundaries next to it. A line of long_words words or more, a passage by itself, is always a chunk of
 its own. Chunks of several lines, and such long lines, are grouped over the whole corpus by hash and then by their bytes;
-the first occurrence, by doc_id and place, stays, the others are removed. Single short lines always stay.
+the first occurrence, by doc_id and place, stays, the others are removed.
+
+Where chunks end depends on what stands before a passage, so by chunks alone most repeats of a few lines stay. With
+passages, all windows of whole lines that have long_words words and would not with a line less at one end are grouped as
+well. Each line of a repeated passage of long_words words or more is in such a window that lies inside the passage, so
+the passage goes whole. A window that overlaps the first one of its document stays. Windows are told apart by a hash of
+127 bits over their lines' hashes, not by their bytes. Single short lines outside of such passages always stay.
 
 Chunks are summed before they are shuffled and joined on one row per repeated chunk, so a chunk that a third of all
 documents hold is never gathered in one task.
@@ -19,11 +25,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIVISOR, LEAST, MOST, LONG_WORDS = 3, 2, 16, 50
 _MASK, _ODD = 2**64 - 1, 0x9E3779B97F4A7C15
+_PRIME, _BASE = 2**127 - 1, 0x2545F4914F6CDD1D9E3779B97F4A7C15
 
 
 def chunks(lines: list[str], divisor: int = DIVISOR, least: int = LEAST, most: int = MOST, long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
@@ -54,6 +61,30 @@ def removable(lines: list[str], start: int, end: int, long_words: int = LONG_WOR
     return any(not x.isspace() and x for x in lines[start:end])
 
 
+def windows(lines: list[str], long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
+    """(first line, end), in order, of the windows of two lines or more that have long_words words, but not without their
+    last line or not without their first one."""
+    words = [len(x.split()) for x in lines]
+    out, end, held = set(), 0, 0
+    for start, own in enumerate(words):
+        while end < len(lines) and held < long_words:
+            held += words[end]
+            end += 1
+        if held < long_words:
+            break
+        out.add((start, end))
+        held -= own
+    start, held = 0, 0
+    for i, own in enumerate(words):
+        held += own
+        while held - words[start] >= long_words:
+            held -= words[start]
+            start += 1
+        if held >= long_words:
+            out.add((start, i + 1))
+    return sorted(w for w in out if w[1] - w[0] > 1)
+
+
 def key_of(doc_id: Column, text: Column) -> Column:
     """doc_id, or for null ids a number above all ids from the text."""
     return F.coalesce(doc_id.cast("bigint"), F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
@@ -94,10 +125,51 @@ def repeated(docs: DataFrame) -> DataFrame:
     return texts.groupBy("a", "b").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("owner").alias("owner")).where("texts = 1 AND n > 1").select("a", "b", "owner")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with the text that stays, and __lines, __removed (bigint): lines before, lines removed."""
-    gone = occurrences(docs, False).join(repeated(docs), ["a", "b"]).where("again OR d <> owner")
-    gone = gone.select("d", "t", "first", "last").distinct().groupBy("d", "t").agg(F.collect_list(F.struct("first", "last")).alias("__gone"))
+def passages(docs: DataFrame) -> DataFrame:
+    """(d, t, a, b, first, last, again): the windows of all documents; again is true if the row has the window before,
+    and not a line of the first one is in this one. Time is linear in the lines."""
+    rows = docs.select(key_of(F.col("doc_id"), F.col("text")).alias("d"), F.xxhash64("text").alias("t"), "text").where("text IS NOT NULL")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, powers = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()], [1]
+        for batch in batches:
+            at, found = [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
+                lines, seen, sums = text.split("\n"), {}, [0]
+                spans = windows(lines) if len(lines) > 1 else []
+                if not spans:
+                    continue
+                for line in lines:
+                    sums.append((sums[-1] * _BASE + xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass")) + 1) % _PRIME)
+                for start, end in spans:
+                    while len(powers) <= end - start:
+                        powers.append(powers[-1] * _BASE % _PRIME)
+                    h = (sums[end] - sums[start] * powers[end - start]) % _PRIME
+                    at.append(n)
+                    found.append(((h >> 63) - 2**63, h & _MASK >> 1, start, end, seen.setdefault(h, end) <= start))
+            cols = list(zip(*found, strict=True)) or [()] * len(kinds)
+            own = batch.select(["d", "t"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["d", "t", "a", "b", "first", "last", "again"])
+
+    return rows.mapInArrow(cut, "d bigint, t bigint, a bigint, b bigint, first int, last int, again boolean")
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(d, t, first, last) of the union of each row's spans, so that what is gathered for a row has no line twice."""
+    own = Window.partitionBy("d", "t").orderBy("first", "last")
+    reach = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    cut = spans.withColumn("__new", F.when(F.col("first") <= reach, 0).otherwise(1))
+    return cut.withColumn("__n", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("d", "t", "__n").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__n")
+
+
+def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """docs with the text that stays, and __lines, __removed (bigint): lines before, lines removed. With whole, repeated
+    passages go as well as repeated chunks."""
+    gone = occurrences(docs, False).join(repeated(docs), ["a", "b"]).where("again OR d <> owner").select("d", "t", "first", "last")
+    if whole:
+        twice = passages(docs).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("d").alias("owner")).where("n > 1").drop("n")
+        gone = gone.unionByName(passages(docs).join(twice, ["a", "b"]).where("again OR d <> owner").select("d", "t", "first", "last"))
+    gone = merged(gone.distinct()).groupBy("d", "t").agg(F.collect_list(F.struct("first", "last")).alias("__gone"))
     gone = gone.withColumnRenamed("d", "__d").withColumnRenamed("t", "__t")
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
     rows = docs.join(gone, (key_of(docs["doc_id"], docs["text"]) == F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__t")), "left")
@@ -109,11 +181,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     return rows.select(*own, text.alias("text"), count.alias("__lines"), removed.cast("bigint").alias("__removed"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, text)"""
-    return dedup(docs.select("doc_id", "text")).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
+    return dedup(docs.select("doc_id", "text"), whole).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
 
 
-def apply_dedup(docs: DataFrame) -> DataFrame:
+def apply_dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The documents with what stays of their texts; a document of which nothing but white space stays goes."""
-    return dedup(docs).where("__removed = 0 OR text RLIKE '[^\\\\s]'").select(*[f"`{c}`" for c in docs.columns])
+    return dedup(docs, whole).where("__removed = 0 OR text RLIKE '[^\\\\s]'").select(*[f"`{c}`" for c in docs.columns])

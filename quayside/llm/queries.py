@@ -40,7 +40,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

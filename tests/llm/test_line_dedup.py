@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from cases import EN, docs, empty, prose, rows
 
-from quayside.llm import line_dedup
+from quayside.llm import line_dedup, queries
 
 
 def brute(texts):
@@ -51,6 +51,47 @@ def test_by_brute_force(spark, seed):
     assert kept == {i: t for i, t in want.items() if t.strip()}
 
 
+def whole(texts):
+    """{id: text} by ids, from all windows of whole lines with 50 words or more; those after the first, and not over it, go."""
+    first, gone = {}, {i: set() for i in texts}
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                window = tuple(lines[a:b])
+                if sum(len(x.split()) for x in window) >= 50:
+                    d, end = first.setdefault(window, (i, b))
+                    if d != i or end <= a:
+                        gone[i].update(range(a, b))
+    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_passages_go_whole(spark, seed):
+    rng = random.Random(seed)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared = [[line(20), line(20), line(20)], [line(3), line(70), "", line(2)], [line(26), line(25)], [line(9) for _ in range(12)], [line(1) for _ in range(60)], [line(30), line(30), line(5)]]
+    texts = {}
+    for i in range(40):
+        parts = [[line(rng.randint(1, 15)) for _ in range(rng.randint(0, 4))] + rng.choice(shared) for _ in range(rng.randint(1, 3))]
+        texts[i] = "\n".join(x for p in parts for x in [*p, line(4)])
+    texts[40] = "\n".join([line(30)] * 7)
+    want = whole(texts)
+    got = {r["doc_id"]: r for r in line_dedup.report(docs(spark, list(texts.items())), whole=True).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_removed"] == len(texts[i].split("\n")) - (len(want[i].split("\n")) if want[i] else 0) for i, r in got.items())
+
+
+def test_query_removes_passages(spark, tmp_path):
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = [line(20) for _ in range(3)]
+    texts = [(i, "\n".join([line(5), line(i + 2), *passage, line(7)])) for i in range(20)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in queries.QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0} | {i: 3 for i in range(1, 20)}
+
+
 def test_edges(spark):
     got = line_dedup.report(docs(spark)).collect()
     assert len(got) == len(rows())
