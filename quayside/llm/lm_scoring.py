@@ -6,8 +6,8 @@ the probability of its count in the corpus, and words beyond the vocabulary shar
 score of a text is the sum of the log-probabilities of all its tokens, each given its neighbours.
 
 Words are counted over the whole corpus. The network, in numpy, is trained on the whole corpus as well: each task starts
-from the same weights, masks about every eighth token of each of its documents and steps along them; the tasks' weights are
-averaged by the number of masked tokens. A task's sum is of fixed size, so what is gathered grows with the number of tasks.
+from the same weights, masks every token of its documents once and steps along them; the tasks' weights are averaged by the
+number of tokens. A task's sum is of fixed size, so what is gathered grows with the number of tasks.
 
 Edge cases: a text that is null or has no token has 0 tokens, the sum 0 and a null mean; a corpus without tokens leaves the
 first weights; a null doc_id stays null; rows that repeat are scored one by one; other columns are ignored; an empty table
@@ -33,7 +33,6 @@ OWN, HASHED, KNOWN, WIDTH = 96, 32, 4096, 16  #: classes of one word, hashed cla
 CLASSES = OWN + HASHED
 OFFSETS = (-2, -1, 1, 2)
 EDGE = CLASSES  #: the class that stands before and after a text
-MASKED = 8
 KEPT = 300_000
 SHAPES = ((len(OFFSETS), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,))
 
@@ -198,12 +197,7 @@ def train(docs: DataFrame, words: Words, rounds: int = 1, batch: int = 1024) ->
             net, seen, wait = Network.of(start), 0, []
             for b in batches:
                 for texts in pieces(b.column("text").to_pylist()):
-                    classes, at, _, n = sequence(words, texts)
-                    sums = np.concatenate([[0], np.cumsum(classes[at])])
-                    ends = np.cumsum(n)
-                    shift = sums[ends] - sums[ends - n]  # which tokens are masked depends on the text
-                    mixed = (np.arange(len(at)) - np.repeat(ends - n, n) + np.repeat(shift, n)) * 2654435761 % 2**32
-                    at = at[(mixed >> 16) % MASKED == 0]
+                    classes, at, _, _ = sequence(words, texts)
                     wait.append(np.concatenate([classes[at[:, None] + np.array(OFFSETS)], classes[at][:, None]], axis=1))
                     if sum(map(len, wait)) >= 16 * batch:
                         seen += self_train(net, np.concatenate(wait), batch)

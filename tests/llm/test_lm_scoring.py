@@ -35,6 +35,19 @@ def test_scores_by_brute_force(spark):
     assert a["mean_pll"] > b["mean_pll"]
 
 
+def test_trains_on_every_token(spark):
+    rng = random.Random(2)
+    texts = [text_of(rng, 40) for _ in range(20)]
+    df = docs(spark, list(enumerate(texts))).coalesce(1)
+    words = lm.count_words(df)
+    want, rows = lm.Network.first(words.prior), []
+    for t in texts:
+        c = [lm.EDGE] * 2 + [words[w][0] for w in t.split()] + [lm.EDGE] * 2
+        rows += [[c[j - 2], c[j - 1], c[j + 1], c[j + 2], c[j]] for j in range(2, len(c) - 2)]
+    assert lm.self_train(want, np.array(rows), 1024) == 20 * 80
+    assert lm.train(df, words).flat() == pytest.approx(want.flat(), abs=1e-5)
+
+
 def test_gradient():
     rng = np.random.default_rng(1)
     net = lm.Network.first(np.log(np.full(lm.CLASSES, 1 / lm.CLASSES)))
