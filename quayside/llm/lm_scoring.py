@@ -2,8 +2,8 @@
 
 A token is a run of letters, digits or underscores, in lower case. The most frequent words are a class each, all others
 fall into hashed classes. A network with a window of two tokens on each side predicts the class; the word in its class has
-the probability of its count in the corpus, and words beyond the vocabulary share the rest of their class by type. The
-score of a text is the sum of the log-probabilities of all its tokens, each given its neighbours.
+the probability of its count in the corpus. The counts of all words stay a table, to which the tokens that are not among the
+most frequent words are joined; without that table such words share the rest of their class by type. The score of a text is the sum of the log-probabilities of all its tokens, each given its neighbours.
 
 Words are counted over the whole corpus. The network, in numpy, is trained on the whole corpus as well: each task starts
 from the same weights, masks every token of its documents once and steps along them; the tasks' weights are averaged by the
@@ -16,6 +16,7 @@ gives no rows. Results depend on how the input is split into tasks, but not on w
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
 from collections import Counter
@@ -34,6 +35,7 @@ CLASSES = OWN + HASHED
 OFFSETS = (-2, -1, 1, 2)
 EDGE = CLASSES  #: the class that stands before and after a text
 KEPT = 300_000
+UNIT = 1 << 30  #: to a whole number of a logarithm
 SHAPES = ((len(OFFSETS), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,))
 
 
@@ -47,7 +49,7 @@ class Words(dict):
     def __init__(self, known: list[tuple[str, int]], hashed: dict[int, tuple[int, int]]) -> None:
         """known: words and counts, most frequent first; hashed: of each hashed class, all its words' count and types."""
         super().__init__()
-        self.fixed, self.rest, left = {}, {}, {k: list(v) for k, v in hashed.items()}
+        self.fixed, self.rest, self.bare, left = {}, {}, {}, {k: list(v) for k, v in hashed.items()}
         for i, (w, n) in enumerate(known):
             h = self.hash(w)
             if h in left and i < OWN:
@@ -61,6 +63,7 @@ class Words(dict):
         for h in range(HASHED):
             n, types = left.get(h, (0, 0))
             self.rest[h] = float(np.log(max(n, 1) / max(types, 1) / totals.get(h, 1)))
+            self.bare[h] = -float(np.log(totals.get(h, 1)))
         counts = np.ones(CLASSES)  # one is added to each
         for i, (_, n) in enumerate(known[:OWN]):
             counts[i] += n
@@ -72,6 +75,13 @@ class Words(dict):
     def hash(word: str) -> int:
         return zlib.crc32(word.encode("utf-8", "surrogatepass")) % HASHED
 
+    def uncounted(self) -> Words:
+        """These words, but those beyond the vocabulary without their counts: what is left is 1 / their class's count."""
+        out = copy.copy(self)
+        out.clear()
+        out.rest = self.bare
+        return out
+
     def __missing__(self, word: str) -> tuple[int, float]:
         if len(self) > KEPT:
             self.clear()
@@ -171,8 +181,8 @@ def pieces(texts: list, size: int = 256) -> Iterator[list]:
         yield texts[i : i + size]
 
 
-def count_words(docs: DataFrame) -> Words:
-    """From all documents. The driver gets the most frequent words and a row for each hashed class."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(word, n): all words of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +191,15 @@ def count_words(docs: DataFrame) -> Words:
                 c.update(tokens(t))
             yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["word", "n"])
 
-    counts = stash(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    return stash(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def count_words(docs: DataFrame) -> Words:
+    return words_of(counted(docs))
+
+
+def words_of(counts: DataFrame) -> Words:
+    """The driver gets the most frequent words and a row for each hashed class."""
     known = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
     hashed = counts.groupBy((F.crc32(F.col("word").cast("binary")) % HASHED).cast("int").alias("h")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     return Words(known, {r["h"]: (r["n"], r["types"]) for r in hashed})
@@ -220,9 +238,10 @@ def self_train(net: Network, rows: np.ndarray, batch: int) -> int:
     return len(rows)
 
 
-def score(docs: DataFrame, words: Words, net: Network) -> DataFrame:
-    """(doc_id, n_tokens, pll, mean_pll)"""
-    flat = net.flat()
+def score(docs: DataFrame, words: Words, net: Network, counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, pll, mean_pll); with counts, the words beyond the vocabulary have their own."""
+    flat, whole = net.flat(), counts is not None
+    words = words.uncounted() if whole else words
 
     def make():  # noqa: ANN202
         own = Network.of(flat)
@@ -234,15 +253,24 @@ def score(docs: DataFrame, words: Words, net: Network) -> DataFrame:
                 p = np.concatenate([[0.0], np.cumsum(own.score(classes, at) + inside)])
                 ends = np.cumsum(n)
                 sums = p[ends] - p[ends - n]
-                out += [(int(k), float(s), float(s / k) if k else None) for k, s in zip(n, sums, strict=True)]
+                found = [(int(k), float(s), float(s / k) if k else None) for k, s in zip(n, sums, strict=True)]
+                out += [(*r, [w for w in tokens(t) if w not in words.fixed]) for r, t in zip(found, some, strict=True)] if whole else found
             return out
 
         return run
 
-    return map_texts(docs, make, "n_tokens bigint, pll double, mean_pll double")
+    kind = "n_tokens bigint, pll double, mean_pll double"
+    if not whole:
+        return map_texts(docs, make, kind)
+    rows = stash(map_texts(docs, make, kind + ", words array<string>").withColumn("__row", F.monotonically_increasing_id()))
+    logs = counts.select("word", F.round(F.log("n") * UNIT).cast("bigint").alias("log"))  # whole numbers: their sums have no order
+    more = rows.select("__row", F.explode("words").alias("word")).join(logs, "word").groupBy("__row").agg(F.sum("log").alias("log"))
+    pll = F.col("pll") + F.coalesce(F.col("log"), F.lit(0)) / UNIT
+    return rows.drop("words", "mean_pll").join(more, "__row", "left").select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean_pll"))
 
 
 def score_corpus(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """The documents scored by a model of themselves."""
-    words = count_words(docs)
-    return score(docs, words, train(docs, words, rounds))
+    counts = counted(docs)
+    words = words_of(counts)
+    return score(docs, words, train(docs, words, rounds), counts)

@@ -73,6 +73,24 @@ def test_word_probabilities():
     assert all(abs(s - 1) < 1e-9 for s in sums.values())
 
 
+def test_all_words_keep_their_counts(spark):
+    often = [f"k{i}" for i in range(lm.KNOWN)] * 5
+    rare = [w for w in (f"r{i}" for i in range(2000)) if lm.Words.hash(w) == 3][:9]
+    texts = [" ".join(often), *rare, rare[0], rare[0], rare[1], rare[0] + " " + rare[2], None]
+    df = docs(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r for r in lm.score_corpus(df).collect()}
+    assert len(got) == len(texts) and got[len(texts) - 1]["pll"] == 0
+    for i, w in enumerate(rare):
+        n = {0: 4, 1: 2, 2: 2}.get(i, 1)
+        assert abs(got[i + 1]["pll"] - got[9]["pll"] - np.log(n)) < 1e-6
+    words = lm.count_words(df)
+    net = lm.train(df, words)
+    total = sum({w: n for w, n in [(w, 5) for w in often[: lm.KNOWN]] if lm.Words.hash(w) == 3 and words[w][0] >= lm.OWN}.values()) + 4 + 2 + 2 + 6
+    z = net.forward(np.full((1, 4), lm.EDGE))[1][0]
+    assert abs(got[9]["pll"] - z[lm.OWN + 3] - np.log(1 / total)) < 1e-3
+    assert abs(got[9]["pll"] - got[9]["mean_pll"]) < 1e-12
+
+
 def test_edges(spark):
     got = lm.score_corpus(docs(spark)).collect()
     assert len(got) == len(rows())
