@@ -373,6 +373,18 @@ def w14_retained_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return K.retained_jobs(K.latest_jobs(t).select("id", "status", "updated_at"), 16).select("id", "status")
 
 
+@query(
+    """, j AS (SELECT id, arg_max(CASE WHEN seq % 1000 = 375 THEN 'running' ELSE status END, seq) AS status, max(updated_at) AS updated_at FROM warm_jobs GROUP BY id),
+r AS (SELECT *, row_number() OVER (ORDER BY updated_at DESC, id DESC) AS rn FROM j WHERE status <> 'running')
+SELECT id, status FROM j WHERE status = 'running' UNION ALL SELECT id, status FROM r WHERE rn <= 120 - (SELECT count(*) FROM j WHERE status = 'running')""",
+    "warm_jobs",
+)
+def w14_retained_of_all_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all updates; one job in 125 still runs."""
+    t = logical(spark, sf, "warm_jobs").withColumn("status", F.expr("CASE WHEN seq % 1000 = 375 THEN 'running' ELSE status END"))
+    return K.retained_jobs(K.latest_jobs(t).select("id", "status", "updated_at"), 120).select("id", "status")
+
+
 @query("SELECT seq, CASE seq % 6 WHEN 2 THEN 'peer' WHEN 3 THEN 'cloud' ELSE 'nvme' END AS store, true AS jitter_ok FROM disks", "disks")
 def a27_tier_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     """A27, H34."""
