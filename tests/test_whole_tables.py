@@ -1,6 +1,8 @@
 """Queries over whole tables beside those that are registered over a part of one."""
 
+import math
 
+from quayside.operators import telemetry as T
 from quayside.plans.registry import QUERIES
 from quayside.sources.adapters import logical
 
@@ -9,3 +11,11 @@ def test_retention_sees_the_newest_jobs(spark, sf):
     newest = logical(spark, sf, "warm_jobs").orderBy("updated_at", "id", ascending=False).first()["id"]
     got = {r["id"] for r in QUERIES["w14_retained_of_all_jobs"](spark, sf).collect()}
     assert newest in got and len(got) == 120
+
+
+def test_delta_covers_the_last_lines(spark, sf):
+    rows = sorted((r["line_no"], r["labels"].get("type") or r["name"], r["value"]) for r in T.parse_metrics(logical(spark, sf, "metric_lines")).collect() if math.isfinite(r["value"]))
+    lines = [r["line_no"] for r in logical(spark, sf, "metric_lines").select("line_no").collect()]
+    before, after = ({n: v for i, n, v in rows if (i > (min(lines) + max(lines)) // 2) == late} for late in (False, True))
+    got = {r["name"]: r["delta"] for r in QUERIES["c12_scrape_delta_of_halves"](spark, sf).collect()}
+    assert got == {n: after.get(n, 0) - before.get(n, 0) for n in before.keys() | after.keys()}
