@@ -80,6 +80,16 @@ def holder_partition(peers: DataFrame, replicas: DataFrame) -> DataFrame:
     return rest.join(known.withColumn("held", F.lit(True)), ["file_path", "id"], "left").select("file_path", "id", F.when(c("held"), 0).otherwise(1).alias("fallback"))
 
 
+def holder_flags(peers: DataFrame, replicas: DataFrame) -> DataFrame:
+    """C1, U7 for many paths: (file_path, id, fallbacks), a row for each active holder, or one without an id where no holder
+    is active; fallbacks is the number of the other active peers, which are the active peers without the path's rows."""
+    held = holders(replicas).select("file_path", c("peer_id").alias("id")).distinct()
+    known = held.join(active_peers(peers).select("id").withColumn("live", F.lit(1)), "id", "left")
+    per = known.groupBy("file_path").agg(F.count("live").alias("n"))
+    rows = per.join(known.where("live = 1").select("file_path", "id"), "file_path", "left")
+    return rows.join(F.broadcast(active_peers(peers).agg(F.count("*").alias("all")))).select("file_path", "id", (c("all") - c("n")).alias("fallbacks"))  # one row
+
+
 def seed_targets(peers: DataFrame, replicas: DataFrame, path: str, source: str) -> DataFrame:
     """Active peers that neither hold the path nor are the source."""
     have = holders(replicas).where(c("file_path") == path).select(c("peer_id").alias("id"))

@@ -98,6 +98,17 @@ def c1_holder_partition(spark: SparkSession, sf: str) -> DataFrame:
     return K.holder_partition(logical(spark, sf, "peers").where("id <= 'peer-00020'"), t)
 
 
+@query(
+    """, held AS (SELECT DISTINCT file_path, peer_id AS id FROM replicas WHERE storage_tier <> 'cloud'), act AS (SELECT id FROM peers WHERE status = 'active'),
+known AS (SELECT * FROM held JOIN act USING (id))
+SELECT p.file_path, k.id, (SELECT count(*) FROM act) - count(k.id) OVER (PARTITION BY p.file_path) AS fallbacks FROM (SELECT DISTINCT file_path FROM held) p LEFT JOIN known k ON k.file_path = p.file_path""",
+    "replicas", "peers",
+)
+def c1_holder_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all paths and peers."""
+    return K.holder_flags(logical(spark, sf, "peers"), logical(spark, sf, "replicas"))
+
+
 @query(
     "SELECT id FROM peers WHERE status = 'active' AND id <> 'peer-00002' AND id NOT IN (SELECT peer_id FROM replicas WHERE file_path = '/models/m5/f5.bin' AND storage_tier <> 'cloud')", "replicas", "peers"
 )

@@ -89,6 +89,18 @@ def f4_rotation(spark: SparkSession, sf: str) -> DataFrame:
     return P.rotate(t, "id", P.rotation_start(c("path"))).where("rank < 2").select("path", "id", "rank")
 
 
+@query(
+    f""", cand AS (SELECT DISTINCT file_path AS path, peer_id AS id FROM replicas WHERE storage_tier <> 'cloud'),
+n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY path) AS n, coalesce(TRY_CAST(nullif(regexp_extract(path, '_chunk_([0-9]+)$', 1), '') AS BIGINT), {_fnv("path")}) AS o FROM cand)
+SELECT path, id, CAST(((i - o) % n + n) % n AS INTEGER) AS rank FROM n WHERE ((i - o) % n + n) % n < 2""",
+    "replicas",
+)
+def f4_rotation_of_all_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """over all paths."""
+    t = K.holders(logical(spark, sf, "replicas")).select(c("file_path").alias("path"), c("peer_id").alias("id")).distinct()
+    return P.rotate(t, "id", P.rotation_start(c("path"))).where("rank < 2").select("path", "id", "rank")
+
+
 @query(
     """SELECT id, available_space / 1073741824 * (CASE WHEN network_speed_mbps > 0 THEN network_speed_mbps ELSE 100 END / CASE WHEN network_latency_ms > 0 THEN network_latency_ms ELSE 1 END) AS score FROM peers WHERE status = 'active'
 ORDER BY score DESC, md5('1:' || id) LIMIT 5""",

@@ -19,3 +19,9 @@ def test_delta_covers_the_last_lines(spark, sf):
     before, after = ({n: v for i, n, v in rows if (i > (min(lines) + max(lines)) // 2) == late} for late in (False, True))
     got = {r["name"]: r["delta"] for r in QUERIES["c12_scrape_delta_of_halves"](spark, sf).collect()}
     assert got == {n: after.get(n, 0) - before.get(n, 0) for n in before.keys() | after.keys()}
+
+
+def test_all_paths_and_peers(spark, sf):
+    held = {r["file_path"] for r in logical(spark, sf, "replicas").where("storage_tier <> 'cloud'").select("file_path").distinct().collect()}
+    assert {r["file_path"] for r in QUERIES["c1_holder_flags"](spark, sf).collect()} == held
+    assert {r["path"] for r in QUERIES["f4_rotation_of_all_paths"](spark, sf).collect()} == held
