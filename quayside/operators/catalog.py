@@ -342,3 +342,15 @@ def seed_plan(peers: DataFrame, replicas: DataFrame, percent: int) -> DataFrame:
     w = Window.partitionBy("file_path")
     ranked = spread.withColumn("i", F.row_number().over(w.orderBy("id"))).withColumn("n", F.count("*").over(w)).where(c("i") <= share_of(c("n"), percent))
     return ranked.join(seed_sources(peers, replicas), "file_path").select("file_path", "source", c("id").alias("target"))
+
+
+def seed_plan_of_many(peers: DataFrame, replicas: DataFrame, percent: int) -> DataFrame:
+    """seed_plan for many paths: the lowest k lacking peers are among the first k + held ones, so only these are listed."""
+    from quayside.operators.selection import share_of
+
+    live = active_peers(peers).select("id", F.row_number().over(Window.orderBy("id")).alias("i"))  # a fleet's nodes
+    known = holders(replicas).select("file_path", c("peer_id").alias("id")).distinct().join(live, "id", "left")
+    per = known.groupBy("file_path").agg(F.count("i").alias("held"), F.array_sort(F.collect_list("i")).alias("taken"))
+    per = per.join(F.broadcast(live.agg(F.count("*").alias("n")))).withColumn("k", share_of(c("n") - c("held"), percent))  # one row
+    some = per.where("n > held").withColumn("free", F.expr("slice(array_except(sequence(1, int(least(k + held, n))), taken), 1, int(k))"))
+    return some.select("file_path", F.explode("free").alias("i")).join(live, "i").join(seed_sources(peers, replicas), "file_path").select("file_path", "source", c("id").alias("target"))

@@ -454,3 +454,16 @@ def j14_seed_plan(spark: SparkSession, sf: str) -> DataFrame:
     """J14, D25, F6."""
     t = K.under_prefix(logical(spark, sf, "replicas"), "/models/m4/")
     return K.seed_plan(logical(spark, sf, "peers"), t, 5)
+
+
+@query(
+    """, held AS (SELECT DISTINCT file_path, peer_id AS id FROM replicas WHERE storage_tier <> 'cloud'), act AS (SELECT id FROM peers WHERE status = 'active'),
+lack AS (SELECT p.file_path, a.id FROM (SELECT DISTINCT file_path FROM held) p CROSS JOIN act a ANTI JOIN held h ON h.file_path = p.file_path AND h.id = a.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY id) AS i, count(*) OVER (PARTITION BY file_path) AS n FROM lack),
+src AS (SELECT file_path, arg_min(peer_id, (seq, peer_id)) AS source FROM replicas WHERE storage_tier <> 'cloud' AND peer_id IN (SELECT id FROM act) GROUP BY file_path)
+SELECT file_path, source, id AS target FROM n JOIN src USING (file_path) WHERE i <= greatest(1, ceil(n * 5 / 100))""",
+    "replicas", "peers",
+)
+def j14_seed_plan_of_all_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all paths."""
+    return K.seed_plan_of_many(logical(spark, sf, "peers"), logical(spark, sf, "replicas"), 5)

@@ -2,6 +2,7 @@
 
 import math
 
+from quayside.operators import catalog as K
 from quayside.operators import telemetry as T
 from quayside.plans.registry import QUERIES
 from quayside.sources.adapters import logical
@@ -25,3 +26,10 @@ def test_all_paths_and_peers(spark, sf):
     held = {r["file_path"] for r in logical(spark, sf, "replicas").where("storage_tier <> 'cloud'").select("file_path").distinct().collect()}
     assert {r["file_path"] for r in QUERIES["c1_holder_flags"](spark, sf).collect()} == held
     assert {r["path"] for r in QUERIES["f4_rotation_of_all_paths"](spark, sf).collect()} == held
+
+
+def test_plan_is_that_of_each_path(spark, sf):
+    peers, replicas = logical(spark, sf, "peers"), logical(spark, sf, "replicas")
+    some = K.under_prefix(replicas, "/models/m7/")
+    got = sorted(map(tuple, QUERIES["j14_seed_plan_of_all_paths"](spark, sf).where("file_path LIKE '/models/m7/%'").collect()))
+    assert got == sorted(map(tuple, K.seed_plan(peers, some, 5).select("file_path", "source", "target").collect())) and got
