@@ -28,16 +28,42 @@ def test_by_brute_force(spark, block, shard):
     assert {tuple(r) for r in got} == brute(rows, 7, 10) and len(got) == len(brute(rows, 7, 10))
 
 
-@pytest.mark.parametrize("dense", [0.03, 2])
+@pytest.mark.parametrize("first,size", [(512, 2048), (64, 100), (3000, 1)])
 @pytest.mark.parametrize("scale", [1, 10**4, 10**7])
-def test_maxscore_is_exact(dense, scale, monkeypatch):
-    monkeypatch.setattr(topk, "DENSE", dense)
+def test_maxscore_is_exact(scale, first, size):
     rng = np.random.default_rng(1)
     v, ids = np.floor(8 * rng.normal(0, 1, (3000, 12))).astype(np.int64) * scale, rng.permutation(3000)
-    for own, near, scores in topk.maxscore(v[:50], ids[:50], v, ids, 20):
-        s = v @ v[np.flatnonzero(ids == own)[0]]
-        want = [j for j in np.lexsort((ids, -s)) if ids[j] != own][:20]
+    shard = topk.Shard(v, ids, first, size)
+    for at in range(30):
+        near, scores = shard.search(v[at], ids[at], 20, None)
+        s = v @ v[at]
+        want = [j for j in np.lexsort((ids, -s)) if j != at][:20]
         assert near.tolist() == ids[want].tolist() and scores.tolist() == s[want].tolist()
+        again, _ = shard.search(v[at], ids[at], 20, int(s[want][9]))
+        assert again[:10].tolist() == ids[want][:10].tolist()
+
+
+def test_walks_and_probes_few_postings(spark):
+    """On the dense vectors of the table: few lists are walked, and most candidates are given up before their last terms."""
+    rows = topk.quantized(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("vec_id").toPandas()
+    v, ids = topk.matrix(rows["v"], 64), rows["vec_id"].to_numpy()
+    shard = topk.Shard(v, ids)
+    for at in range(0, 2000, 20):
+        shard.search(v[at], ids[at], 20, None)
+    later = shard.blocks[1:]
+    every = 100 * 64 * sum(len(b.ids) for b in later)
+    assert sum(b.walked for b in later) < 0.3 * every and sum(b.walked + b.probed for b in later) < 0.6 * every
+
+
+def test_sql_agrees(spark):
+    import duckdb
+
+    from quayside.llm import queries
+
+    got = {tuple(r) for r in queries.op10_exact_top_k(spark, "/root/testdata/sf0.001").select("query_id", "rank", "vec_id", "score").collect()}
+    with duckdb.connect() as db:
+        db.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+        assert set(db.execute(queries.ORACLE_SQL["op10_exact_top_k"]).fetchall()) == got
 
 
 def test_edges(spark):
