@@ -12,8 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of the edges (u, v): root is the least node that it is connected to.
 
     Each round takes the least label among a node and its neighbours and then that label's own label, so far ends meet in
-    a number of rounds like the logarithm of the distance. Labels are summed before the shuffle, and joined on one row a
-    node, so a hub is no hot spot. Only the count of changes comes to the driver.
+    a number of rounds like the logarithm of the distance. Labels are summed before the shuffle. A node's edges, and the
+    nodes of one label, meet one row in each join; where they are many, adaptive execution splits them. Give edges of a
+    bounded degree. Only whether there are changes comes to the driver.
     """
     both = stash(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).where("u <> v").distinct())
     labels = stash(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("root")))

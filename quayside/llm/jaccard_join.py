@@ -1,11 +1,16 @@
 """N-gram Jaccard join: documents whose sets of word 5-grams have a Jaccard similarity of at least 0.8.
 
-Documents with equal sets are one node. Nodes get MinHash signatures, read as the keys of a forest of prefix tries: in
-each tree, sorted by key, nodes that share a prefix are neighbours. Prefixes start at full depth and are shortened until
-a pair just at the threshold shares one in some tree with at least the target recall; pairs above it do so more often.
-Neighbours, linked to the least node of their prefix, fall into groups (connected components); within a group all pairs
-are verified exactly, from whole texts. Groups are cut into blocks of bounded size and a task takes one pair of blocks, so
-links between different texts are counted in full, yet neither pairs nor copies are ever rows.
+Documents with equal sets are one node. Nodes get MinHash signatures, read as the labels of a forest of prefix tries: a
+label is a tree's run of hashes, and nodes that share a prefix of it are a run of the tree's sorted labels. Runs are
+matched at full depth first. In a run, nodes whose sketches agree well below the threshold are linked by a spanning forest,
+so neither pairs nor unrelated texts that share a prefix by chance are carried on. From the agreement of what was found
+the number of pairs that were missed is estimated (each found pair stands for 1 / its chance of being found), and prefixes
+are shortened to the depth that would have the target recall; that is measured again, until it is reached.
+
+Groups of nodes linked so are verified exactly, all pairs, from whole texts. Groups are cut into blocks of bounded size
+and a task takes one pair of blocks, so links between different texts are counted in full, yet neither pairs nor copies
+are ever rows. A run of more nodes than fit in a task is dealt to parts, whose nodes are all linked, without sketches: a
+group may become larger for it, but no link is lost. Spanning forests have nodes of bounded degree, so there are no hubs.
 
 Words are stretches without ASCII white space; a text of fewer than 5 words is one n-gram; one with no word has no link.
 
@@ -31,16 +36,28 @@ from quayside.llm.components import components
 from quayside.llm.fingerprints import TokenHash
 from quayside.llm.line_dedup import key_of
 
-N, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 32, 8, 0.9999
+N, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 24, 12, 0.9999
+SKETCH, SLACK = 64, 0.25  #: bytes of a sketch; how far below the threshold their agreement may be (five deviations)
+RUN, FAN = 8192, 16  #: nodes of a run that a task compares; branches of the trees that link them
 BLOCK_ROWS, BLOCK_GRAMS = 1500, 1_500_000
 LIGHT = 32  #: n-grams of up to so many texts of a block are counted by pairs, others by matrix products
 _SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix by which a pair at the threshold is found with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def found_at(depth: int, similarity: np.ndarray | float, trees: int = TREES) -> np.ndarray | float:
+    """The chance that a pair shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def depth_for(agreed: dict[int, int], depth: int, *, trees: int = TREES, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix with the target recall, from the pairs found at a depth: their number by sketch bytes agreed."""
+    if not agreed:
+        return depth
+    same, n = (np.array(x, dtype=np.float64) for x in zip(*agreed.items(), strict=True))
+    similarity = np.clip((same / SKETCH - 1 / 256) / (1 - 1 / 256), threshold, 1)
+    whole = n / found_at(depth, similarity, trees)
+    while depth > 1 and (whole * found_at(depth, similarity, trees)).sum() < recall * whole.sum():
         depth -= 1
     return depth
 
@@ -71,13 +88,42 @@ class Forest:
         self.xors, self.odds = (rng.integers(0, 2**32, (trees * depth, 1), dtype=np.uint32) for _ in range(2))
         self.odds |= np.uint32(1)
 
-    def keys(self, grams: np.ndarray) -> list[int]:
-        """A 64-bit key for the prefix of each tree."""
+    def labels(self, grams: np.ndarray) -> tuple[bytes, bytes]:
+        """Of all trees, one after another, 16 bits of each hash; and the sketch."""
         x = ((grams * _MIX) >> np.uint64(32)).astype(np.uint32)
         low = np.full(self.trees * self.depth, 2**32 - 1, dtype=np.uint32)
         for i in range(0, len(x), 2048):
             np.minimum(low, ((x[None, i : i + 2048] ^ self.xors) * self.odds).min(axis=1), out=low)
-        return [xxhash.xxh3_64_intdigest(p.tobytes(), seed=i + 1) - 2**63 for i, p in enumerate(low.reshape(self.trees, self.depth))]
+        low = low * np.uint32(0x9E3779B1)  # the least of many hashes have few bits in their high half
+        return (low >> np.uint32(16)).astype(">u2").tobytes(), (low >> np.uint32(8)).astype(np.uint8)[:: len(low) // SKETCH or 1][:SKETCH].tobytes()
+
+
+def spanning(sketches: np.ndarray, starts: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of rows that begin at starts: of each connected set of rows that agree in at least so many bytes, the
+    rows, and the bytes in which each agrees with the row that it was found from (the first one's own: all)."""
+    ends = np.r_[starts[1:], len(sketches)]
+    head = np.repeat(starts, ends - starts)
+    with_head = (sketches == sketches[head]).sum(axis=1)
+    near = with_head >= least
+    lonely = np.add.reduceat(~near, starts)
+    for start, end, others in zip(starts.tolist(), ends.tolist(), lonely.tolist(), strict=True):
+        if not others:
+            yield np.arange(start, end), with_head[start:end]
+            continue
+        left = np.arange(start, end)
+        while len(left):
+            rows, same, at = [left[:1]], [np.array([sketches.shape[1]])], 0
+            todo, left = left[:1].tolist(), left[1:]
+            while at < len(todo) and len(left):
+                agree = (sketches[left] == sketches[todo[at]]).sum(axis=1)
+                hit = agree >= least
+                if hit.any():
+                    rows.append(left[hit])
+                    same.append(agree[hit])
+                    todo += left[hit].tolist()
+                    left = left[~hit]
+                at += 1
+            yield np.concatenate(rows), np.concatenate(same)
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, across: bool, threshold: float) -> np.ndarray:
@@ -135,7 +181,7 @@ def roots(ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(d, id, a, b, n, keys) of each row: a hash of its set, the set's size and the keys of its prefixes."""
+    """(d, id, a, b, n, labels, sketch) of each row: a hash of its set, the set's size and its signature."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, forest = Grams(), Forest(trees, depth)
@@ -144,21 +190,83 @@ def sets_of(docs: DataFrame, trees: int, depth: int) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 g = grams(text)
                 h = xxhash.xxh3_128_intdigest(g.tobytes())
-                out.append(((h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, len(g), forest.keys(g) if len(g) else None))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["d", "id", "a", "b", "n", "keys"])
+                out.append(((h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, len(g), *(forest.labels(g) if len(g) else (None, None))))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["d", "id", "a", "b", "n", "labels", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(key_of(F.col("doc_id"), F.col("text")).alias("d"), F.col("doc_id").alias("id"), "text")
-    return rows.mapInArrow(each, f"d bigint, id {kind}, a bigint, b bigint, n bigint, keys array<bigint>")
-
+    return rows.mapInArrow(each, f"d bigint, id {kind}, a bigint, b bigint, n bigint, labels binary, sketch binary")
+
+
+def matches(nodes: DataFrame, level: int, trees: int, depth: int, threshold: float) -> DataFrame:
+    """(u, v, same): trees that connect the nodes that share a prefix of this depth in a tree and whose sketches agree;
+    same is in how many bytes, null where a run was too large to compare."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    prefix = F.expr(f"substring(labels, tree * {2 * depth} + 1, {2 * level})")
+    entries = nodes.select("node", "labels", tree.alias("tree")).select("node", F.xxhash64("tree", prefix).alias("key"), F.expr(f"substring(labels, tree * {2 * depth} + {2 * level} + 1, {2 * (depth - level)})").alias("more"))
+    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    runs = entries.join(shared, "key").join(nodes.select("node", "sketch"), "node")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / RUN)).cast("int")
+    runs = runs.select("key", part.alias("part"), (F.col("n") > RUN).alias("large"), "low", "node", "sketch", "more")
+    runs = runs.repartition("key", "part").sortWithinPartitions("key", "part", "more", "node").drop("more")
+    least = int(SKETCH * (threshold - SLACK))
+
+    def link(rows: pa.Table) -> pa.RecordBatch:
+        key, part, node = (rows.column(c).to_numpy() for c in ("key", "part", "node"))
+        large, low = rows.column("large").to_numpy(zero_copy_only=False), rows.column("low").to_numpy()
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        size = np.diff(np.r_[starts, len(key)])
+        u, v, same = [], [], []
+        big = np.repeat(large[starts], size)
+        if big.any():  # each with the run's least node, through one node a part
+            first = np.repeat(starts, size)
+            u += [low[starts[large[starts]]], node[first[big]]]
+            v += [node[starts[large[starts]]], node[big]]
+            same += [np.full(len(x), -1) for x in v[-2:]]
+        if not big.all():
+            small = ~large[starts]
+            sketches = np.frombuffer(b"".join(rows.column("sketch").filter(pa.array(~big)).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+            node = node[~big]
+            for members, agreed in spanning(sketches, np.r_[0, size[small].cumsum()[:-1]], least):
+                if len(members) > 1:
+                    u.append(node[members[(np.arange(1, len(members)) - 1) // FAN]])
+                    v.append(node[members[1:]])
+                    same.append(agreed[1:])
+        u, v, same = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (u, v, same))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(same, pa.int32(), mask=same < 0)], names=["u", "v", "same"])
 
-def groups_of(nodes: DataFrame) -> DataFrame:
-    """(node, root): the groups of nodes that share a prefix, nodes that share none left out."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    return components(keyed.join(shared, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[pa.Table] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            wait.append(pa.Table.from_batches([b]))
+            rows = pa.concat_tables(wait)
+            last = rows.slice(rows.num_rows - 1)
+            rest = int(np.count_nonzero((rows.column("key").to_numpy() == last.column("key")[0].as_py()) & (rows.column("part").to_numpy() == last.column("part")[0].as_py())))
+            wait = [rows.slice(rows.num_rows - rest)]  # the last run may go on
+            if rest < rows.num_rows:
+                yield link(rows.slice(0, rows.num_rows - rest))
+        if wait:
+            yield link(pa.concat_tables(wait))
+
+    return runs.mapInArrow(each, "u bigint, v bigint, same int")
+
+
+def forest_links(nodes: DataFrame, *, trees: int, depth: int, threshold: float, recall: float) -> tuple[DataFrame, int]:
+    """The links of the forest at the depth to which its prefixes had to be shortened, and that depth. Only counts by
+    bytes agreed come to the driver."""
+    level = depth
+    while True:
+        found = matches(nodes, level, trees, depth, threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "same")
+        links = stash(found.groupBy("u", "v").agg(F.max("same").alias("same")))
+        agreed = links.where(F.col("same") >= int(SKETCH * threshold)).groupBy("same").count().collect()
+        to = depth_for({r["same"]: r["count"] for r in agreed}, level, trees=trees, threshold=threshold, recall=recall)
+        if to == level:
+            return links, level
+        level = to
 
 
 def verified(docs: DataFrame, groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -209,10 +317,11 @@ def join(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = TREES, d
 def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """(d, id, a, b, class_id, n_links, n_copies)"""
     docs = docs.select("doc_id", "text")
-    sets = stash(sets_of(docs, trees, shared_depth(threshold, trees, depth, recall)))
-    nodes = sets.where("n > 0").groupBy("a", "b").agg(F.min("d").alias("node"), F.count("*").alias("n_copies"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    sets = stash(sets_of(docs, trees, depth))
+    nodes = sets.where("n > 0").groupBy("a", "b").agg(F.min("d").alias("node"), F.count("*").alias("n_copies"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     nodes = stash(nodes)
-    groups = groups_of(nodes.select("node", "keys"))
+    links, _ = forest_links(nodes.select("node", "labels", "sketch"), trees=trees, depth=depth, threshold=threshold, recall=recall)
+    groups = components(links.select("u", "v"))
     found = stash(verified(docs, groups, nodes.groupBy("node").agg(F.sum("n").alias("n")), threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
     if not (cut := found.where("parts > 1")).isEmpty():  # what tasks found of one group meets here
@@ -220,7 +329,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, d
         links = links.join(met, "node", "left").select("node", "n_links", F.coalesce("met", "root").alias("root"))
     by_set = nodes.select("a", "b", "node", "n_copies").join(links, "node", "left")
     by_set = by_set.select("a", "b", "n_copies", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sets.drop("keys", "n").join(by_set, ["a", "b"], "left")
+    out = sets.drop("labels", "sketch", "n").join(by_set, ["a", "b"], "left")
     return out.select("d", "id", "a", "b", F.coalesce("class_id", "d").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"))
 
 

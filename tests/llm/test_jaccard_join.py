@@ -59,15 +59,50 @@ def test_by_brute_force(spark, block, monkeypatch):
 
 
 def test_recall_of_the_forest():
-    k = jaccard_join.shared_depth()
-    assert k < jaccard_join.DEPTH and 1 - (1 - 0.8**k) ** 32 >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** 32
-    rng, hit, n = random.Random(3), 0, 300
-    forest, grams = jaccard_join.Forest(32, k), jaccard_join.Grams()
+    """Of pairs of a similarity of about 0.79, by the depth that pairs of that similarity would lead to."""
+    k = jaccard_join.depth_for({51: 1000}, jaccard_join.DEPTH)
+    assert jaccard_join.found_at(k, 0.8) >= jaccard_join.RECALL > jaccard_join.found_at(k + 1, 0.8)
+    assert jaccard_join.depth_for({64: 1000}, 12) == 12 and jaccard_join.depth_for({}, 12) == 12
+    assert k <= jaccard_join.depth_for({51: 1, 60: 1000}, 12) < 12
+    rng, hit, near, n = random.Random(3), 0, 0, 300
+    forest, grams = jaccard_join.Forest(jaccard_join.TREES, jaccard_join.DEPTH), jaccard_join.Grams()
     for _ in range(n):
         w = prose(rng, VOCABULARY, 400).split()
-        o = w[:353] + prose(rng, VOCABULARY, 47).split()  # a similarity of about 0.79
-        hit += bool(set(forest.keys(grams(" ".join(w)))) & set(forest.keys(grams(" ".join(o)))))
-    assert hit >= 0.99 * n
+        o = w[:353] + prose(rng, VOCABULARY, 47).split()
+        (a, x), (b, y) = (forest.labels(grams(" ".join(t))) for t in (w, o))
+        size = 2 * jaccard_join.DEPTH
+        hit += any(a[i : i + 2 * k] == b[i : i + 2 * k] for i in range(0, len(a), size))
+        near += sum(p == q for p, q in zip(x, y)) >= jaccard_join.SKETCH * (0.8 - jaccard_join.SLACK)
+    assert hit >= 0.99 * n and near == n
+
+
+def test_prefixes_are_shortened_until_the_target(spark):
+    rng = random.Random(9)
+    bases = [prose(rng, VOCABULARY, 400).split() for _ in range(150)]
+    texts = [" ".join(b) for b in bases] + [" ".join(b[:357] + prose(rng, VOCABULARY, 43).split()) for b in bases]
+    sets = jaccard_join.sets_of(docs(spark, list(enumerate(texts))), jaccard_join.TREES, jaccard_join.DEPTH)
+    nodes = sets.selectExpr("d AS node", "labels", "sketch").cache()
+    links, level = jaccard_join.forest_links(nodes, trees=jaccard_join.TREES, depth=jaccard_join.DEPTH, threshold=0.8, recall=0.9999)
+    assert level < jaccard_join.DEPTH
+    assert {(r["u"], r["v"]) for r in links.collect()} == {(i, i + 150) for i in range(150)}
+    _, easy = jaccard_join.forest_links(nodes, trees=jaccard_join.TREES, depth=jaccard_join.DEPTH, threshold=0.8, recall=0.5)
+    assert easy == jaccard_join.DEPTH
+
+
+def test_unrelated_texts_with_a_prefix_are_not_linked():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 256, (2, 64), dtype=np.uint8)
+    half = np.where(np.arange(64) < 20, b, a)
+    rows = np.stack([a, b, half, a, b, b, a])
+    found = [sorted(m.tolist()) for m, _ in jaccard_join.spanning(rows, np.array([0, 5]), 35)]
+    assert found == [[0, 2, 3], [1, 4], [5], [6]]
+
+
+def test_large_runs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RUN", 3)
+    texts = variants(random.Random(4), 3, 20)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard_join.join(docs(spark, list(texts.items()))).collect()}
+    assert got == brute(texts)
 
 
 @pytest.mark.parametrize("light", [0, 2, 1000])
