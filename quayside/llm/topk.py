@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quayside.llm.common import stash
 
-STRIDE = 4  #: terms that are probed between two looks at who is still competitive
+STRIDE = 8  #: terms that are probed between two looks at who is still competitive
 
 
 def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -45,6 +45,12 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def kind_of(a: np.ndarray, b: np.ndarray) -> type:
+    """A type in which all sums of a @ b.T are exact: floats where no sum can leave their whole numbers, else int64."""
+    reach = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    return np.float32 if reach < 2**22 else np.float64 if reach < 2**51 else np.int64
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k highest scores, ties to the smaller id, in order."""
     if len(scores) > k:
@@ -57,8 +63,8 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 class Postings:
     """The posting lists of a block of candidates, with what bounds them."""
 
-    def __init__(self, v: np.ndarray, ids: np.ndarray) -> None:
-        self.ids, self.lists = ids, np.ascontiguousarray(v.T)
+    def __init__(self, v: np.ndarray, ids: np.ndarray, kind: type = np.int64) -> None:
+        self.ids, self.lists = ids, np.ascontiguousarray(v.T.astype(kind))
         self.low, self.high = v.min(axis=0), v.max(axis=0)
         self.norms = (v.astype(np.float64) ** 2).sum(axis=1)
         self.walked = self.probed = 0  #: postings read
@@ -71,14 +77,14 @@ class Postings:
         left = bound[order][::-1].cumsum()[::-1]  # the most that the terms from each place on can add
         need = 0 if theta is None else max(theta - int(least.sum()), 0)
         essential = int(np.count_nonzero(left >= need))
-        sums = np.full(len(self.ids), least[order[essential:]].sum(), dtype=np.int64)
-        for j in order[:essential]:
-            sums += q[j] * self.lists[j]
+        terms = q.astype(self.lists.dtype)
+        sums = terms[order[:essential]] @ self.lists[order[:essential]] + least[order[essential:]].sum().astype(self.lists.dtype)
         self.walked += essential * len(sums)
         live = np.flatnonzero(self.ids != own)
         sums = sums[live]
         if essential < len(q):
-            rest = (self.lists[order[essential:]].astype(np.float64) ** 2).sum(axis=0)[live]
+            walked = self.lists[order[:essential]]
+            rest = np.maximum(self.norms - np.einsum("ij,ij->j", walked, walked, dtype=np.float64), 0.0)[live]
             norms = np.sqrt((q[order].astype(np.float64)[::-1] ** 2).cumsum()[::-1])
             ahead = least[order][::-1].cumsum()[::-1]
             for place in range(essential, len(q), STRIDE):
@@ -90,21 +96,21 @@ class Postings:
                     break
                 some = order[place : place + STRIDE]
                 x = self.lists[some[:, None], live]
-                sums = sums + (q[some] @ x - least[some].sum())
-                rest = np.maximum(rest - np.square(x, dtype=np.float64).sum(axis=0), 0.0)
+                sums = sums + (terms[some] @ x - least[some].sum().astype(terms.dtype))
+                rest = np.maximum(rest - np.einsum("ij,ij->j", x, x, dtype=np.float64), 0.0)
                 self.probed += x.size
         if theta is not None:
             reach = sums >= theta
             live, sums = live[reach], sums[reach]
-        return self.ids[live], sums
+        return self.ids[live], sums.astype(np.int64)
 
 
 class Shard:
     """Blocks of postings. The first one is small, as it is walked without a threshold where none is carried in."""
 
-    def __init__(self, v: np.ndarray, ids: np.ndarray, first: int = 512, size: int = 4096) -> None:
+    def __init__(self, v: np.ndarray, ids: np.ndarray, first: int = 512, size: int = 8192, kind: type = np.int64) -> None:
         ends = [0, *range(min(first, len(v)), len(v), size), len(v)]
-        self.blocks = [Postings(v[a:b], ids[a:b]) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+        self.blocks = [Postings(v[a:b], ids[a:b], kind) for a, b in zip(ends, ends[1:], strict=False) if a < b]
 
     def search(self, q: np.ndarray, own: int, k: int, theta: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best for one query, of those that reach theta; it rises from block to block."""
@@ -126,7 +132,8 @@ def rows_of(queries: DataFrame, shards: DataFrame, k: int) -> DataFrame:
         got: list[pd.DataFrame] = []
         if len(qs) and len(cs):
             width = max(qs["q"].map(len).max(), cs["v"].map(len).max())
-            shard, q = Shard(matrix(cs["v"], width), cs["vec_id"].to_numpy()), matrix(qs["q"], width)
+            q, v, carried = matrix(qs["q"], width), matrix(cs["v"], width), qs["theta"].notna().any()
+            shard = Shard(v, cs["vec_id"].to_numpy(), len(v) if carried else 512, kind=kind_of(q, v))
             for row, own, theta in zip(q, qs["asked"].tolist(), qs["theta"].tolist(), strict=True):
                 ids, scores = shard.search(row, own, k, None if pd.isna(theta) else int(theta))
                 got.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))

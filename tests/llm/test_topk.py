@@ -33,7 +33,7 @@ def test_by_brute_force(spark, block, shard):
 def test_maxscore_is_exact(scale, first, size):
     rng = np.random.default_rng(1)
     v, ids = np.floor(8 * rng.normal(0, 1, (3000, 12))).astype(np.int64) * scale, rng.permutation(3000)
-    shard = topk.Shard(v, ids, first, size)
+    shard = topk.Shard(v, ids, first, size, topk.kind_of(v, v))
     for at in range(30):
         near, scores = shard.search(v[at], ids[at], 20, None)
         s = v @ v[at]
@@ -47,7 +47,7 @@ def test_walks_and_probes_few_postings(spark):
     """On the dense vectors of the table: few lists are walked, and most candidates are given up before their last terms."""
     rows = topk.quantized(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("vec_id").toPandas()
     v, ids = topk.matrix(rows["v"], 64), rows["vec_id"].to_numpy()
-    shard = topk.Shard(v, ids)
+    shard = topk.Shard(v, ids, kind=topk.kind_of(v, v))
     for at in range(0, 2000, 20):
         shard.search(v[at], ids[at], 20, None)
     later = shard.blocks[1:]
