@@ -1,22 +1,26 @@
 """LM scoring by masked pseudo-likelihood: every token is predicted from the tokens on both sides.
 
-A token is a run of letters, digits or underscores, in lower case. The most frequent words are a class each, all others
-fall into hashed classes. A network with a window of two tokens on each side predicts the class; the word in its class has
-the probability of its count in the corpus. The counts of all words stay a table, to which the tokens that are not among the
-most frequent words are joined; without that table such words share the rest of their class by type. The score of a text is the sum of the log-probabilities of all its tokens, each given its neighbours.
-
-Words are counted over the whole corpus. The network, in numpy, is trained on the whole corpus as well: each task starts
-from the same weights, masks every token of its documents once and steps along them; the tasks' weights are averaged by the
-number of tokens. A task's sum is of fixed size, so what is gathered grows with the number of tasks.
+A token is a run of letters, digits or underscores, in lower case. A network with a window of three tokens on each side
+predicts each token in two steps: its class, then its word in the class. The 4096 most frequent words are in classes of 128
+words with like endings, in which the network predicts the word as well. All other words are in classes by a hash of
+their last two characters; a word in such a class has the probability of its count in the corpus. The counts of all words
+stay a table: the most frequent ones are sent to the tasks, a number of fixed bound, the rest is joined to the tokens that
+need it, so no count is cut off, however large the corpus. The score of a text is the sum of the log-probabilities of all
+its tokens, each given its neighbours. n_once counts its tokens that occur nowhere else in the corpus.
+
+The network, in numpy, is trained on every token of the corpus once. Documents are dealt by a hash of id and text to shards
+of a bounded number of tokens, and shards to rounds. In a round each shard starts from the same weights, in the order of
+the hashes; weights are averaged by the number of tokens, as whole numbers, so the scores don't depend on how the input is
+split into tasks, nor on which of them run again (but for the last bits of a float's sum). The number of shards grows with
+the corpus; what comes to the driver is one set of weights a round.
 
 Edge cases: a text that is null or has no token has 0 tokens, the sum 0 and a null mean; a corpus without tokens leaves the
 first weights; a null doc_id stays null; rows that repeat are scored one by one; other columns are ignored; an empty table
-gives no rows. Results depend on how the input is split into tasks, but not on which of them are run again.
+gives no rows.
 """
 
 from __future__ import annotations
 
-import copy
 import re
 import zlib
 from collections import Counter
@@ -27,70 +31,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import map_texts, stash
+from quayside.llm.common import stash
 
 TOKEN = re.compile(r"\w+")
-OWN, HASHED, KNOWN, WIDTH = 96, 32, 4096, 16  #: classes of one word, hashed classes, words with a count, hidden units
-CLASSES = OWN + HASHED
-OFFSETS = (-2, -1, 1, 2)
-EDGE = CLASSES  #: the class that stands before and after a text
+KNOWN = 65_536  #: most frequent words, whose counts the tasks have
+CLASSES, EACH, TAILS = 32, 128, 64  #: classes of frequent words, words in each, classes of all other words
+OWN, OUT = CLASSES * EACH, CLASSES + TAILS
+ALONE = 64  #: words that the network sees as themselves; others it sees as their class
+EDGE = ALONE + OUT  #: what stands before and after a text
+OFFSETS, WIDTH = (-3, -2, -1, 1, 2, 3), 16
+MARGIN = 3
 KEPT = 300_000
 UNIT = 1 << 30  #: to a whole number of a logarithm
-SHAPES = ((len(OFFSETS), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,))
+STEP = 1 << 24  #: to a whole number of a weight
+SHARD = 4_000_000  #: tokens of a shard, about
+SHAPES = ((len(OFFSETS), EDGE + 1, WIDTH), (WIDTH,), (WIDTH, OUT), (OUT,), (CLASSES, WIDTH, EACH), (CLASSES, EACH))
 
 
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+def tail_of(word: str) -> int:
+    return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % TAILS
+
+
 class Words(dict):
-    """The class of a word and its log-probability there."""
+    """The number of a word: its rank if it is known, else KNOWN and its class. By number: classes and log-probabilities."""
 
-    def __init__(self, known: list[tuple[str, int]], hashed: dict[int, tuple[int, int]]) -> None:
-        """known: words and counts, most frequent first; hashed: of each hashed class, all its words' count and types."""
+    def __init__(self, known: list[tuple[str, int]], tails: dict[int, int]) -> None:
+        """known: words and counts, most frequent first; tails: of each class by ending, the count of all its words."""
         super().__init__()
-        self.fixed, self.rest, self.bare, left = {}, {}, {}, {k: list(v) for k, v in hashed.items()}
-        for i, (w, n) in enumerate(known):
-            h = self.hash(w)
-            if h in left and i < OWN:
-                left[h] = [left[h][0] - n, left[h][1] - 1]
-        totals = {h: max(n, 1) for h, (n, _) in left.items()}
-        for i, (w, n) in enumerate(known):
-            h = self.hash(w)
-            self.fixed[w] = (i, 0.0) if i < OWN else (OWN + h, float(np.log(n / totals.get(h, n))))
-            if i >= OWN and h in left:
-                left[h] = [left[h][0] - n, left[h][1] - 1]
-        for h in range(HASHED):
-            n, types = left.get(h, (0, 0))
-            self.rest[h] = float(np.log(max(n, 1) / max(types, 1) / totals.get(h, 1)))
-            self.bare[h] = -float(np.log(totals.get(h, 1)))
-        counts = np.ones(CLASSES)  # one is added to each
-        for i, (_, n) in enumerate(known[:OWN]):
-            counts[i] += n
-        for h, n in totals.items():
-            counts[OWN + h] += n
+        self.known = {w: i for i, (w, _) in enumerate(known)}
+        n = np.array([c for _, c in known], dtype=np.float64)
+        out = np.r_[[tail_of(w) + CLASSES for w, _ in known], np.arange(TAILS) + CLASSES].astype(np.int64)
+        own = min(OWN, len(known))
+        by_ending = np.argsort(np.array([w[::-1] for w, _ in known[:own]], dtype=object), kind="stable")
+        left = np.array([tails.get(t, 0) for t in range(TAILS)], dtype=np.float64)
+        np.subtract.at(left, out[:own] - CLASSES, n[:own])
+        self.slot, place = np.full(len(out), -1, dtype=np.int64), np.arange(own)
+        out[by_ending], self.slot[by_ending] = place * CLASSES // max(own, 1), place - -(-(place * CLASSES // max(own, 1)) * own // CLASSES)
+        self.out = out.astype(np.uint8)
+        self.seen = np.where(np.arange(len(out)) < min(ALONE, own), np.arange(len(out)), ALONE + out).astype(np.uint8)
+        self.inside = np.zeros(len(out))  # in classes by ending: the word's part of the class, for unknown ones without their count
+        total = np.maximum(left, 1)[out[own:] - CLASSES]
+        self.inside[own:] = np.log(np.r_[n[own:], np.ones(TAILS)] / total)
+        counts = np.r_[np.bincount(out[:own], n[:own], CLASSES)[:CLASSES], left] + 1
         self.prior = np.log(counts / counts.sum())
+        words = np.full((CLASSES, EACH), -30.0)  # places without a word
+        words[out[:own], self.slot[:own]] = np.log(n[:own])
+        self.word_prior = words - np.log(np.exp(words).sum(axis=1, keepdims=True))
 
-    @staticmethod
-    def hash(word: str) -> int:
-        return zlib.crc32(word.encode("utf-8", "surrogatepass")) % HASHED
-
-    def uncounted(self) -> Words:
-        """These words, but those beyond the vocabulary without their counts: what is left is 1 / their class's count."""
-        out = copy.copy(self)
-        out.clear()
-        out.rest = self.bare
-        return out
-
-    def __missing__(self, word: str) -> tuple[int, float]:
+    def __missing__(self, word: str) -> int:
         if len(self) > KEPT:
             self.clear()
-        out = self.fixed.get(word)
-        if out is None:
-            h = self.hash(word)
-            out = (OWN + h, self.rest[h])
-        self[word] = out
-        return out
+        i = self.known.get(word)
+        self[word] = i = len(self.known) + tail_of(word) if i is None else i
+        return i
 
 
 class Network:
@@ -99,9 +96,9 @@ class Network:
         self.squares = [np.full(x.shape, 1e-6, dtype=np.float32) for x in self.w]
 
     @classmethod
-    def first(cls, prior: np.ndarray, seed: int = 7) -> Network:
+    def first(cls, words: Words, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
-        return cls([rng.normal(0, 0.1, SHAPES[0]), np.zeros(SHAPES[1]), rng.normal(0, 0.1, SHAPES[2]), prior])
+        return cls([rng.normal(0, 0.1, SHAPES[0]), np.zeros(SHAPES[1]), rng.normal(0, 0.1, SHAPES[2]), words.prior, rng.normal(0, 0.1, SHAPES[4]), words.word_prior])
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
@@ -110,75 +107,96 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.w]).astype(np.float64)
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """around: (n, 4) classes; hidden units and log-probabilities of the classes."""
-        e, b, out, c = self.w
-        h = b + e[0][around[:, 0]]
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        h = self.w[0][0][around[:, 0]] + self.w[1]
         for i in range(1, len(OFFSETS)):
-            h += e[i][around[:, i]]
-        np.tanh(h, out=h)
-        z = h @ out
+            h += self.w[0][i][around[:, i]]
+        return np.tanh(h, out=h)
+
+    def by_class(self, out: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each class of frequent words with its rows."""
+        order = np.argsort(out, kind="stable")
+        ends = np.searchsorted(out[order], np.arange(CLASSES + 1))
+        for k in range(CLASSES):
+            if ends[k] < ends[k + 1]:
+                yield k, order[ends[k] : ends[k + 1]]
+
+    def logits(self, h: np.ndarray, k: int | None = None) -> np.ndarray:
+        """Of the classes, or of the words of one; where an exponential could leave the floats, less the highest."""
+        w, c = (self.w[2], self.w[3]) if k is None else (self.w[4][k], self.w[5][k])
+        z = h @ w
         z += c
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return h, z
-
-    def step(self, around: np.ndarray, target: np.ndarray, rate: float = 0.05) -> None:
+        if np.abs(w).sum(axis=0).max() + np.abs(c).max() > 80:
+            z -= z.max(axis=1, keepdims=True)
+        return z
+
+    def score(self, around: np.ndarray, out: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the classes, and of the words in those of frequent words."""
+        h = self.hidden(around)
+        p = own_log(self.logits(h), out).astype(np.float64)
+        for k, rows in self.by_class(out):
+            p[rows] += own_log(self.logits(h[rows], k), slot[rows])
+        return p
+
+    def step(self, around: np.ndarray, out: np.ndarray, slot: np.ndarray, rate: float = 0.1) -> None:
         """One step of Adagrad along the mean gradient of a batch."""
-        h, z = self.forward(around)
-        g = np.exp(z)
-        g[np.arange(len(g)), target] -= 1
-        g /= len(g)
-        gh = (g @ self.w[2].T) * (1 - h * h)
+        h = self.hidden(around)
+        g = away(self.logits(h), out)
+        gh = g @ self.w[2].T
+        gw, gc = np.zeros(SHAPES[4], dtype=np.float32), np.zeros(SHAPES[5], dtype=np.float32)
+        for k, rows in self.by_class(out):
+            hk = h[rows]
+            d = away(self.logits(hk, k), slot[rows])
+            gw[k], gc[k] = hk.T @ d, d.sum(axis=0)
+            gh[rows] += d @ self.w[4][k].T
+        gh *= 1 - h * h
         ge = np.zeros(SHAPES[0], dtype=np.float32)
         for i in range(len(OFFSETS)):
-            pick = np.zeros((CLASSES + 1, len(gh)), dtype=np.float32)
-            pick[around[:, i], np.arange(len(gh))] = 1
-            ge[i] = pick @ gh
-        for x, s, d in zip(self.w, self.squares, (ge, gh.sum(axis=0), h.T @ g, g.sum(axis=0)), strict=True):
+            ids = around[:, i]
+            order = np.argsort(ids, kind="stable")
+            own = ids[order]
+            at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            ge[i][own[at]] = np.add.reduceat(gh[order], at, axis=0)
+        scale = np.float32(1 / len(g))
+        for x, s, d in zip(self.w, self.squares, (ge, gh.sum(axis=0), h.T @ g, g.sum(axis=0), gw, gc), strict=True):
+            d *= scale
             s += d * d
             x -= np.float32(rate) * d / np.sqrt(s)
 
-    def score(self, classes: np.ndarray, at: np.ndarray, rows: int = 1024) -> np.ndarray:
-        """Log-probabilities of the classes at these places of a sequence with edges."""
-        out, (e, b, w, c) = np.empty(len(at)), self.w
-        pairs = [e[i][:, None] + e[i + 1][None] for i in range(0, len(OFFSETS), 2)]  # two neighbours in one look-up
-        first, full = pairs[0].reshape(-1, WIDTH) + b, np.concatenate([w, c[None]])
-        second = pairs[1].reshape(-1, WIDTH)
-        safe = np.abs(full).sum(axis=0).max() < 80  # no logarithm's argument can leave the floats
-        h = np.ones((rows, WIDTH + 1), dtype=np.float32)
-        for i in range(0, len(at), rows):
-            p = at[i : i + rows]
-            n = len(p)
-            x = first[classes[p + OFFSETS[0]] * (CLASSES + 1) + classes[p + OFFSETS[1]]]
-            x += second[classes[p + OFFSETS[2]] * (CLASSES + 1) + classes[p + OFFSETS[3]]]
-            h[:n, :WIDTH] = np.tanh(x, out=x)
-            z = h[:n] @ full
-            top = 0 if safe else z.max(axis=1)
-            if not safe:
-                z -= top[:, None]
-            own = z[np.arange(n), classes[p]]
-            out[i : i + n] = own - np.log(np.exp(z, out=z).sum(axis=1))
-        return out
-
-
-def sequence(words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all texts, edges between; places of tokens, their log-probabilities in class, and tokens of each text."""
-    classes, own, lengths = [EDGE, EDGE], [], []
-    for t in texts:
-        found = [words[w] for w in tokens(t)]
-        classes += [c for c, _ in found]
-        classes += (EDGE, EDGE)
-        own += [p for _, p in found]
-        lengths.append(len(found))
-    n = np.array(lengths, dtype=np.int64)
-    at = np.arange(n.sum()) + 2 + 2 * np.repeat(np.arange(len(n)), n)
-    return np.array(classes, dtype=np.int64), at, np.array(own), n
-
-
-def pieces(texts: list, size: int = 256) -> Iterator[list]:
-    for i in range(0, len(texts), size):
-        yield texts[i : i + size]
+    def learn(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray], batch: int) -> int:
+        """Steps along all rows once, in an order of their own."""
+        order = np.random.default_rng(len(rows[1])).permutation(len(rows[1]))
+        for i in range(0, len(order), batch):
+            some = order[i : i + batch]
+            self.step(*[x[some] for x in rows])
+        return len(order)
+
+
+def own_log(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log-probability of one column of each row of logits."""
+    at = z[np.arange(len(own)), own]
+    np.exp(z, out=z)
+    return at - np.log(z @ np.ones(z.shape[1], dtype=z.dtype))
+
+
+def away(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The gradient of minus that: the probabilities, less 1 in the own column."""
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], dtype=z.dtype))[:, None]
+    z[np.arange(len(own)), own] -= 1
+    return z
+
+
+def seen_from(words: Words, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the tokens of texts that end at ends: what is around each, its class and its place there."""
+    n = np.diff(np.r_[0, ends])
+    at = np.arange(len(ids)) + MARGIN * (1 + np.repeat(np.arange(len(n)), n))
+    line = np.full(len(ids) + MARGIN * (len(n) + 1), EDGE, dtype=np.uint8)
+    line[at] = words.seen[ids]
+    around = np.empty((len(ids), len(OFFSETS)), dtype=np.uint8)
+    for i, o in enumerate(OFFSETS):
+        around[:, i] = line[at + o]
+    return around, words.out[ids], words.slot[ids]
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -194,83 +212,123 @@ def counted(docs: DataFrame) -> DataFrame:
     return stash(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def count_words(docs: DataFrame) -> Words:
-    return words_of(counted(docs))
-
-
 def words_of(counts: DataFrame) -> Words:
-    """The driver gets the most frequent words and a row for each hashed class."""
+    """The driver gets the most frequent words and a row for each class by ending."""
     known = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
-    hashed = counts.groupBy((F.crc32(F.col("word").cast("binary")) % HASHED).cast("int").alias("h")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
-    return Words(known, {r["h"]: (r["n"], r["types"]) for r in hashed})
+    tail = (F.crc32(F.expr("right(word, 2)").cast("binary")) % TAILS).cast("int")
+    tails = counts.groupBy(tail.alias("t")).agg(F.sum("n").alias("n")).collect()
+    return Words(known, {r["t"]: r["n"] for r in tails})
+
 
+def encoded(docs: DataFrame, words: Words) -> DataFrame:
+    """(doc_id, place, ids, rare): place is a hash of the row; ids are the numbers of its tokens; rare the words that are
+    not known."""
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("place"), "text")
 
-def train(docs: DataFrame, words: Words, rounds: int = 1, batch: int = 1024) -> Network:
-    """Rounds of training all tasks' copies of a network on their documents and averaging them."""
-    now = Network.first(words.prior)
-    for _ in range(rounds):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = len(words.known)
+        for b in batches:
+            every, ends, rare, cuts = [], [0], [], [0]
+            for t in b.column("text").to_pylist():
+                found = tokens(t)
+                ids = np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found))
+                rare += [found[i] for i in np.flatnonzero(ids >= known)]
+                every.append(ids)
+                ends.append(ends[-1] + len(ids))
+                cuts.append(len(rare))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every) if every else [], pa.int32()))
+            texts = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), ids, texts], names=["doc_id", "place", "ids", "rare"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return stash(rows.mapInArrow(encode, f"doc_id {kind}, place bigint, ids array<int>, rare array<string>"))
+
+
+def lists_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a batch, and where each row's end."""
+    ids = b.column("ids")
+    offsets = ids.offsets.to_numpy()
+    return ids.values.to_numpy()[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+
+
+def train(rows: DataFrame, words: Words, *, rounds: int = 2, batch: int = 4096, shard: int = SHARD, chunk: int = 262_144) -> Network:
+    """Rounds of training copies of a network on a part of the shards each, and averaging them."""
+    now = Network.first(words)
+    total = rows.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard))
+    rounds = min(rounds, shards)
+    dealt = rows.where(F.size("ids") > 0).select(F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard"), "place", "ids")
+    for turn in range(rounds):
         start = now.flat()
 
         def learn(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            net, seen, wait = Network.of(start), 0, []
-            for b in batches:
-                for texts in pieces(b.column("text").to_pylist()):
-                    classes, at, _, _ = sequence(words, texts)
-                    wait.append(np.concatenate([classes[at[:, None] + np.array(OFFSETS)], classes[at][:, None]], axis=1))
-                    if sum(map(len, wait)) >= 16 * batch:
-                        seen += self_train(net, np.concatenate(wait), batch)
-                        wait = []
-            if wait:
-                seen += self_train(net, np.concatenate(wait), batch)
-            values = net.flat() * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values), pa.array([seen] * len(values), pa.int64())], names=["i", "x", "n"])
-
-        sums = docs.select("text").mapInArrow(learn, "i int, x double, n bigint").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).where("n > 0").orderBy("i").collect()
-        if sums:
-            now = Network.of(np.array([r["x"] / r["n"] for r in sums]))
-    return now
+            net, at, seen, wait, held = Network.of(start), None, 0, [], 0
+
+            def flush() -> int:
+                ids, n = np.concatenate(wait), [len(x) for x in wait]
+                return net.learn(seen_from(words, ids, np.cumsum(n)), batch)
 
+            def done() -> pa.RecordBatch:
+                values = np.rint(net.flat() * STEP).astype(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values), pa.array([seen] * len(values), pa.int64())], names=["i", "x", "n"])
 
-def self_train(net: Network, rows: np.ndarray, batch: int) -> int:
-    rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
-    for i in range(0, len(rows), batch):
-        net.step(rows[i : i + batch, :-1], rows[i : i + batch, -1])
-    return len(rows)
+            for b in batches:
+                ids, ends = lists_of(b)
+                for k, a, z in zip(b.column("shard").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    if k != at:
+                        if at is not None:
+                            seen += flush() if wait else 0
+                            yield done()
+                        net, at, seen, wait, held = Network.of(start), k, 0, [], 0
+                    wait.append(ids[a:z])
+                    held += z - a
+                    if held >= chunk:
+                        seen += flush()
+                        wait, held = [], 0
+            if at is not None:
+                seen += flush() if wait else 0
+                yield done()
+
+        part = dealt.where(F.col("shard") % rounds == turn).repartition(-(-shards // rounds), "shard").sortWithinPartitions("shard", "place")
+        weighted = (F.col("x").cast("decimal(20,0)") * F.col("n").cast("decimal(12,0)")).alias("x")
+        sums = part.mapInArrow(learn, "i int, x bigint, n bigint").select("i", weighted, "n").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        means = sums.select("i", (F.col("x") / F.col("n")).cast("double").alias("x")).orderBy("i").collect()
+        if means:
+            now = Network.of(np.array([r["x"] for r in means]) / STEP)
+    return now
 
 
-def score(docs: DataFrame, words: Words, net: Network, counts: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_tokens, pll, mean_pll); with counts, the words beyond the vocabulary have their own."""
-    flat, whole = net.flat(), counts is not None
-    words = words.uncounted() if whole else words
+def score(rows: DataFrame, words: Words, net: Network, counts: DataFrame, chunk: int = 4096) -> DataFrame:
+    """(doc_id, n_tokens, pll, mean_pll, n_once)"""
+    flat = net.flat()
 
-    def make():  # noqa: ANN202
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network.of(flat)
-
-        def run(texts: list) -> list[tuple]:
-            out = []
-            for some in pieces(texts):
-                classes, at, inside, n = sequence(words, some)
-                p = np.concatenate([[0.0], np.cumsum(own.score(classes, at) + inside)])
-                ends = np.cumsum(n)
-                sums = p[ends] - p[ends - n]
-                found = [(int(k), float(s), float(s / k) if k else None) for k, s in zip(n, sums, strict=True)]
-                out += [(*r, [w for w in tokens(t) if w not in words.fixed]) for r, t in zip(found, some, strict=True)] if whole else found
-            return out
-
-        return run
-
-    kind = "n_tokens bigint, pll double, mean_pll double"
-    if not whole:
-        return map_texts(docs, make, kind)
-    rows = stash(map_texts(docs, make, kind + ", words array<string>").withColumn("__row", F.monotonically_increasing_id()))
-    logs = counts.select("word", F.round(F.log("n") * UNIT).cast("bigint").alias("log"))  # whole numbers: their sums have no order
-    more = rows.select("__row", F.explode("words").alias("word")).join(logs, "word").groupBy("__row").agg(F.sum("log").alias("log"))
+        for b in batches:
+            ids, ends = lists_of(b)
+            around, out, slot = seen_from(words, ids, ends)
+            p = np.empty(len(ids) + 1)
+            p[0] = 0
+            for i in range(0, len(ids), chunk):
+                p[i + 1 : i + chunk + 1] = own.score(around[i : i + chunk], out[i : i + chunk], slot[i : i + chunk])
+            p[1:] += words.inside[ids]
+            p = np.cumsum(p)
+            starts = np.r_[0, ends[:-1]] if len(ends) else ends
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ends - starts, pa.int64()), pa.array(p[ends] - p[starts], pa.float64()), b.column("rare")], names=["doc_id", "n_tokens", "pll", "rare"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    scored = rows.select("doc_id", "ids", "rare").mapInArrow(each, f"doc_id {kind}, n_tokens bigint, pll double, rare array<string>")
+    scored = stash(scored.withColumn("__row", F.monotonically_increasing_id()))
+    logs = counts.select("word", F.round(F.log("n") * UNIT).cast("bigint").alias("log"), (F.col("n") == 1).cast("bigint").alias("once"))  # whole numbers: their sums have no order
+    more = scored.select("__row", F.explode("rare").alias("word")).join(logs, "word").groupBy("__row").agg(F.sum("log").alias("log"), F.sum("once").alias("once"))
     pll = F.col("pll") + F.coalesce(F.col("log"), F.lit(0)) / UNIT
-    return rows.drop("words", "mean_pll").join(more, "__row", "left").select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean_pll"))
+    joined = scored.drop("rare").join(more, "__row", "left")
+    return joined.select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean_pll"), F.coalesce("once", F.lit(0)).alias("n_once"))
 
 
-def score_corpus(docs: DataFrame, rounds: int = 1) -> DataFrame:
+def score_corpus(docs: DataFrame, **options) -> DataFrame:
     """The documents scored by a model of themselves."""
     counts = counted(docs)
     words = words_of(counts)
-    return score(docs, words, train(docs, words, rounds), counts)
+    rows = encoded(docs, words)
+    return score(rows, words, train(rows, words, **options), counts)

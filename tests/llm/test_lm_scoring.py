@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,82 +14,129 @@ def text_of(rng, n):
     return " ".join(f"{w} {after[w]}" for w in (rng.choice("abc") for _ in range(n)))
 
 
+def words_of(counts):
+    known = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: lm.KNOWN]
+    tails = Counter()
+    for w, n in counts.items():
+        tails[lm.tail_of(w)] += n
+    return lm.Words(known, tails)
+
+
 def test_scores_by_brute_force(spark):
+    """Each token from the network's weights, one at a time; words beyond the known ones by their own count."""
     rng = random.Random(1)
-    df = docs(spark, [(i, text_of(rng, 40)) for i in range(300)])
-    words = lm.count_words(df)
-    net = lm.train(df, words, rounds=4, batch=32)
-    assert np.isclose(np.exp(words.prior).sum(), 1)
-    got = {r["doc_id"]: r for r in lm.score(df, words, net).collect()}
-    for i, text in [(r["doc_id"], r["text"]) for r in df.limit(5).collect()]:
-        t = [words[w] for w in text.split()]
-        c, total = [lm.EDGE] * 2 + [k for k, _ in t] + [lm.EDGE] * 2, 0.0
-        for j, (k, p) in enumerate(t):
-            z = net.forward(np.array([[c[j], c[j + 1], c[j + 3], c[j + 4]]]))[1][0]
-            assert np.isclose(np.exp(z).sum(), 1, atol=1e-4)
-            total += z[k] + p
-        assert got[i]["n_tokens"] == len(t) and abs(got[i]["pll"] - total) < 1e-2 and abs(got[i]["mean_pll"] * len(t) - got[i]["pll"]) < 1e-6
-    unigram = np.mean([words.prior[words[w][0]] + words[w][1] for w in df.first()["text"].split()])
+    texts = [text_of(rng, 40) + f" rare{i}" for i in range(200)]
+    df = docs(spark, list(enumerate(texts)))
+    counts = lm.counted(df)
+    assert {r["word"]: r["n"] for r in counts.collect()} == Counter(w for t in texts for w in t.split())
+    words = lm.words_of(counts)
+    coded = lm.encoded(df, words)
+    net = lm.train(coded, words, rounds=2, batch=32, shard=4000)
+    got = {r["doc_id"]: r for r in lm.score(coded, words, net, counts).collect()}
+    e, b, w1, c1, w2, c2 = net.w
+    for i in range(5):
+        ids = [words[w] for w in texts[i].split()]
+        line, total = [lm.EDGE] * 3 + [int(words.seen[x]) for x in ids] + [lm.EDGE] * 3, 0.0
+        for j, x in enumerate(ids):
+            h = np.tanh(b + sum(e[n][line[j + 3 + o]] for n, o in enumerate(lm.OFFSETS)))
+            z = h @ w1 + c1
+            total += z[words.out[x]] - np.log(np.exp(z).sum()) + words.inside[x]
+            if words.slot[x] >= 0:
+                z = h @ w2[words.out[x]] + c2[words.out[x]]
+                total += z[words.slot[x]] - np.log(np.exp(z).sum())
+        assert got[i]["n_tokens"] == len(ids) and abs(got[i]["pll"] - total) < 1e-2 and abs(got[i]["mean_pll"] * len(ids) - got[i]["pll"]) < 1e-6 and got[i]["n_once"] == 0
+    n = sum(map(len, (t.split() for t in texts)))
+    unigram = np.mean([np.log(c / n) for t in texts[:20] for c in [Counter(w for t in texts for w in t.split())[w] for w in t.split()]])
     assert np.mean([r["mean_pll"] for r in got.values()]) > unigram + 0.5  # it learns from both sides
-    bad = docs(spark, [(1, text_of(rng, 40)), (2, " ".join(rng.choice("abcxyz") for _ in range(80)))])
-    a, b = sorted(lm.score(bad, words, net).collect())
-    assert a["mean_pll"] > b["mean_pll"]
+
+
+def test_beats_unigrams_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = {r["word"]: r["n"] for r in lm.counted(df).collect()}
+    total = sum(counts.values())
+    unigram = sum(n * np.log(n / total) for n in counts.values()) / total
+    got = lm.score_corpus(df).selectExpr("sum(pll) / sum(n_tokens) AS mean").first()["mean"]
+    assert got > unigram + 0.2
+
+
+def test_same_scores_for_any_split(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, many = ({r["doc_id"]: r["pll"] for r in lm.score_corpus(df.repartition(n), shard=20_000).collect()} for n in (1, 8))
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) <= 1e-5 * abs(one[i]) for i in one)
 
 
 def test_trains_on_every_token(spark):
+    """One shard: the same steps as by hand, over all tokens; many shards: their mean."""
     rng = random.Random(2)
     texts = [text_of(rng, 40) for _ in range(20)]
-    df = docs(spark, list(enumerate(texts))).coalesce(1)
-    words = lm.count_words(df)
-    want, rows = lm.Network.first(words.prior), []
-    for t in texts:
-        c = [lm.EDGE] * 2 + [words[w][0] for w in t.split()] + [lm.EDGE] * 2
-        rows += [[c[j - 2], c[j - 1], c[j + 1], c[j + 2], c[j]] for j in range(2, len(c) - 2)]
-    assert lm.self_train(want, np.array(rows), 1024) == 20 * 80
-    assert lm.train(df, words).flat() == pytest.approx(want.flat(), abs=1e-5)
+    df = docs(spark, list(enumerate(texts)))
+    words = words_of(Counter(w for t in texts for w in t.split()))
+    coded = lm.encoded(df, words)
+    placed = [r["ids"] for r in sorted(coded.collect(), key=lambda r: r["place"])]
+    want = lm.Network.first(words)
+    assert want.learn(lm.seen_from(words, np.concatenate(placed), np.cumsum([len(x) for x in placed])), 1024) == 20 * 80
+    assert lm.train(coded, words, batch=1024).flat() == pytest.approx(want.flat(), abs=1e-5)
+    parts = {r["place"]: r["s"] for r in coded.selectExpr("place", "pmod(xxhash64(place), 2) AS s").collect()}
+    means, seen = 0, 0
+    for s in (0, 1):
+        own = [r["ids"] for r in sorted(coded.collect(), key=lambda r: r["place"]) if parts[r["place"]] == s]
+        net = lm.Network.first(words)
+        n = net.learn(lm.seen_from(words, np.concatenate(own), np.cumsum([len(x) for x in own])), 1024)
+        means, seen = means + n * net.flat(), seen + n
+    assert seen == 20 * 80 and lm.train(coded, words, rounds=1, batch=1024, shard=800).flat() == pytest.approx(means / seen, abs=1e-5)
 
 
 def test_gradient():
+    """Against differences of the loss."""
     rng = np.random.default_rng(1)
-    net = lm.Network.first(np.log(np.full(lm.CLASSES, 1 / lm.CLASSES)))
-    around, target = rng.integers(0, lm.CLASSES + 1, (400, 4)), np.zeros(400, dtype=int)
-    loss = lambda: -net.forward(around)[1][np.arange(400), target].mean()
-    before = loss()
-    for _ in range(20):
-        net.step(around, target)
-    assert loss() < before - 1 and lm.Network.of(net.flat()).flat() == pytest.approx(net.flat())
+    words = words_of({f"w{i}": 1 + i % 7 for i in range(5000)})
+    net = lm.Network.first(words)
+    net.w = [x.astype(np.float64) for x in net.w]
+    net.squares = [np.full(x.shape, 1.0) for x in net.w]
+    rows = rng.integers(0, 5000, 60)
+    around, out, slot = lm.seen_from(words, rows, np.array([20, 60]))
+    loss = lambda: -net.score(around, out, slot).mean()
+    before, rate = [x.copy() for x in net.w], 1e-3
+    for which, at in [(0, (2, int(around[0, 2]), 3)), (1, (4,)), (2, (3, int(out[5]))), (3, (int(out[5]),)), (4, (int(out[slot >= 0][0]), 2, int(slot[slot >= 0][0]))), (5, (int(out[slot >= 0][0]), int(slot[slot >= 0][0])))]:
+        base = [x.copy() for x in before]
+        net.w = base
+        net.w[which][at] += 1e-4
+        up = loss()
+        net.w[which][at] -= 2e-4
+        slope = (up - loss()) / 2e-4
+        net.w, net.squares = [x.copy() for x in before], [np.full(x.shape, 1.0) for x in before]
+        net.step(around, out, slot, rate)
+        moved = (before[which] - net.w[which])[at] / rate
+        assert moved == pytest.approx(slope, rel=2e-2, abs=1e-5)
 
 
 def test_word_probabilities():
-    known = [(f"w{i}", 1000 - i) for i in range(lm.OWN + 50)]
-    rest = [f"r{i}" for i in range(500)]
-    every = known + [(w, 2) for w in rest]
-    hashed = {}
-    for w, n in every:
-        a, b = hashed.get(lm.Words.hash(w), (0, 0))
-        hashed[lm.Words.hash(w)] = (a + n, b + 1)
-    words, sums = lm.Words(known, hashed), {}
-    for w, _ in every:
-        sums[words[w][0]] = sums.get(words[w][0], 0) + np.exp(words[w][1])
-    assert all(abs(s - 1) < 1e-9 for s in sums.values())
-
-
-def test_all_words_keep_their_counts(spark):
-    often = [f"k{i}" for i in range(lm.KNOWN)] * 5
-    rare = [w for w in (f"r{i}" for i in range(2000)) if lm.Words.hash(w) == 3][:9]
+    """In each class the words' probabilities come to 1, those of unknown words by their counts."""
+    counts = {f"w{i}x{i % 900}": 1 + 70_000 // (i + 1) for i in range(lm.KNOWN + 3000)}
+    words = words_of(counts)
+    unknown = [w for w in counts if w not in words.known]
+    sums = np.zeros(lm.OUT)
+    for w, i in words.known.items():
+        sums[words.out[i]] += np.exp(words.inside[i]) if words.slot[i] < 0 else np.exp(words.word_prior[words.out[i], words.slot[i]])
+        assert (words.slot[i] >= 0) == (i < lm.OWN) == (words.out[i] < lm.CLASSES)
+    for w in unknown:
+        sums[words.out[words[w]]] += counts[w] * np.exp(words.inside[words[w]])
+    assert len(unknown) == 3000 and sums[sums > 0] == pytest.approx(1, abs=1e-6) and (sums[: lm.CLASSES] > 0).all()
+    assert len({(int(words.out[i]), int(words.slot[i])) for i in range(lm.OWN)}) == lm.OWN
+
+
+def test_all_words_keep_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "KNOWN", 50)
+    monkeypatch.setattr(lm, "OWN", 40)
+    often = [f"k{i}" for i in range(50)] * 5
+    rare = [f"r{i}aa" for i in range(9)]
     texts = [" ".join(often), *rare, rare[0], rare[0], rare[1], rare[0] + " " + rare[2], None]
-    df = docs(spark, list(enumerate(texts)))
-    got = {r["doc_id"]: r for r in lm.score_corpus(df).collect()}
+    got = {r["doc_id"]: r for r in lm.score_corpus(docs(spark, list(enumerate(texts)))).collect()}
     assert len(got) == len(texts) and got[len(texts) - 1]["pll"] == 0
-    for i, w in enumerate(rare):
+    for i in range(9):
         n = {0: 4, 1: 2, 2: 2}.get(i, 1)
-        assert abs(got[i + 1]["pll"] - got[9]["pll"] - np.log(n)) < 1e-6
-    words = lm.count_words(df)
-    net = lm.train(df, words)
-    total = sum({w: n for w, n in [(w, 5) for w in often[: lm.KNOWN]] if lm.Words.hash(w) == 3 and words[w][0] >= lm.OWN}.values()) + 4 + 2 + 2 + 6
-    z = net.forward(np.full((1, 4), lm.EDGE))[1][0]
-    assert abs(got[9]["pll"] - z[lm.OWN + 3] - np.log(1 / total)) < 1e-3
-    assert abs(got[9]["pll"] - got[9]["mean_pll"]) < 1e-12
+        assert abs(got[i + 1]["pll"] - got[9]["pll"] - np.log(n)) < 1e-6 and got[i + 1]["n_once"] == (n == 1)
+    assert got[0]["n_once"] == 0 and got[9]["pll"] == got[9]["mean_pll"]
 
 
 def test_edges(spark):
