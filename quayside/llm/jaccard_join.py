@@ -10,7 +10,8 @@ are shortened to the depth that would have the target recall; that is measured a
 Groups of nodes linked so are verified exactly, all pairs, from whole texts. Groups are cut into blocks of bounded size
 and a task takes one pair of blocks, so links between different texts are counted in full, yet neither pairs nor copies
 are ever rows. A run of more nodes than fit in a task is dealt to parts, whose nodes are all linked, without sketches: a
-group may become larger for it, but no link is lost. Spanning forests have nodes of bounded degree, so there are no hubs.
+group may become larger for it, but no link is lost. Links go to the least node of each set, the same one in most trees,
+so most of them are equal and few are left.
 
 Words are stretches without ASCII white space; a text of fewer than 5 words is one n-gram; one with no word has no link.
 
@@ -38,7 +39,7 @@ from quayside.llm.line_dedup import key_of
 
 N, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 24, 12, 0.9999
 SKETCH, SLACK = 64, 0.25  #: bytes of a sketch; how far below the threshold their agreement may be (five deviations)
-RUN, FAN = 8192, 16  #: nodes of a run that a task compares; branches of the trees that link them
+RUN = 8192  #: nodes of a run that a task compares
 BLOCK_ROWS, BLOCK_GRAMS = 1500, 1_500_000
 LIGHT = 32  #: n-grams of up to so many texts of a block are counted by pairs, others by matrix products
 _SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
@@ -201,8 +202,8 @@ def sets_of(docs: DataFrame, trees: int, depth: int) -> DataFrame:
 
 
 def matches(nodes: DataFrame, level: int, trees: int, depth: int, threshold: float) -> DataFrame:
-    """(u, v, same): trees that connect the nodes that share a prefix of this depth in a tree and whose sketches agree;
-    same is in how many bytes, null where a run was too large to compare."""
+    """(u, v, same): links that connect the nodes that share a prefix of this depth in a tree and whose sketches agree, u the
+    least of them; same is in how many bytes, null where a run was too large to compare."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     prefix = F.expr(f"substring(labels, tree * {2 * depth} + 1, {2 * level})")
     entries = nodes.select("node", "labels", tree.alias("tree")).select("node", F.xxhash64("tree", prefix).alias("key"), F.expr(f"substring(labels, tree * {2 * depth} + {2 * level} + 1, {2 * (depth - level)})").alias("more"))
@@ -220,20 +221,23 @@ def matches(nodes: DataFrame, level: int, trees: int, depth: int, threshold: flo
         size = np.diff(np.r_[starts, len(key)])
         u, v, same = [], [], []
         big = np.repeat(large[starts], size)
-        if big.any():  # each with the run's least node, through one node a part
-            first = np.repeat(starts, size)
-            u += [low[starts[large[starts]]], node[first[big]]]
-            v += [node[starts[large[starts]]], node[big]]
-            same += [np.full(len(x), -1) for x in v[-2:]]
+        if big.any():  # each with the run's least node
+            u.append(low[big])
+            v.append(node[big])
+            same.append(np.full(int(big.sum()), -1))
         if not big.all():
             small = ~large[starts]
             sketches = np.frombuffer(b"".join(rows.column("sketch").filter(pa.array(~big)).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
             node = node[~big]
             for members, agreed in spanning(sketches, np.r_[0, size[small].cumsum()[:-1]], least):
                 if len(members) > 1:
-                    u.append(node[members[(np.arange(1, len(members)) - 1) // FAN]])
-                    v.append(node[members[1:]])
-                    same.append(agreed[1:])
+                    own = node[members]
+                    least_one = own.argmin()
+                    agreed[0] = agreed[least_one]  # the first row was found from none
+                    others = np.delete(np.arange(len(own)), least_one)
+                    u.append(np.full(len(others), own[least_one]))
+                    v.append(own[others])
+                    same.append(agreed[others])
         u, v, same = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (u, v, same))
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(same, pa.int32(), mask=same < 0)], names=["u", "v", "same"])
 
@@ -260,8 +264,7 @@ def forest_links(nodes: DataFrame, *, trees: int, depth: int, threshold: float,
     bytes agreed come to the driver."""
     level = depth
     while True:
-        found = matches(nodes, level, trees, depth, threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "same")
-        links = stash(found.groupBy("u", "v").agg(F.max("same").alias("same")))
+        links = stash(matches(nodes, level, trees, depth, threshold).where("u <> v").groupBy("u", "v").agg(F.max("same").alias("same")))
         agreed = links.where(F.col("same") >= int(SKETCH * threshold)).groupBy("same").count().collect()
         to = depth_for({r["same"]: r["count"] for r in agreed}, level, trees=trees, threshold=threshold, recall=recall)
         if to == level:

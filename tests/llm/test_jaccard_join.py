@@ -117,10 +117,12 @@ def test_linked_by_brute_force(light, monkeypatch):
     assert jaccard_join.linked(sets, side, True, 0.8).tolist() == [p for p in want if side[p[0]] != side[p[1]]]
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(0, 100)] + [(500, 300), (300, 400), (7, 7), (900, 901)]
+@pytest.mark.parametrize("hub", [components.HUB, 2])
+def test_components(spark, hub, monkeypatch):
+    monkeypatch.setattr(components, "HUB", hub)
+    edges = [(i, i + 1) for i in range(0, 100)] + [(500, 300), (300, 400), (7, 7), (900, 901)] + [(700, 701 + i) for i in range(40)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
-    assert got == {**dict.fromkeys(range(101), 0), 500: 300, 300: 300, 400: 300, 900: 900, 901: 900}
+    assert got == {**dict.fromkeys(range(101), 0), 500: 300, 300: 300, 400: 300, 900: 900, 901: 900, **dict.fromkeys(range(700, 741), 700)}
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
