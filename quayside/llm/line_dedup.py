@@ -1,18 +1,17 @@
 """Line dedup by content-defined chunks of lines.
 
 A rolling hash over the hashes of the last lines ends a chunk where it is 0 modulo a divisor, so an inserted or deleted
-line moves only the boundaries next to it. A line of long_words words or more, a passage by itself, is always a chunk of
-its own. Chunks of several lines, and such long lines, are grouped over the whole corpus by hash and then by their bytes;
-the first occurrence, by doc_id and place, stays, the others are removed.
+line moves only the boundaries next to it. Chunks of several lines are grouped over the whole corpus by hash and then by
+their bytes; the first occurrence, by doc_id and place, stays, the others are removed.
 
 Where chunks end depends on what stands before a passage, so by chunks alone most repeats of a few lines stay. With
-passages, all windows of whole lines that have long_words words and would not with a line less at one end are grouped as
-well. Each line of a repeated passage of long_words words or more is in such a window that lies inside the passage, so
-the passage goes whole. A window that overlaps the first one of its document stays. Windows are told apart by a hash of
-127 bits over their lines' hashes, not by their bytes. Single short lines outside of such passages always stay.
+passages, runs of whole lines that come to passage_words words are grouped as well: all windows that have so many words,
+and would not with a line less at one end. Each line of a repeated passage of so many words or more is in such a window
+that lies inside the passage, so the passage goes whole, be it one line or many. A window that overlaps the first one of
+its document stays. Windows are told apart by a hash of 127 bits over their lines' hashes, not by their bytes.
 
-Chunks are summed before they are shuffled and joined on one row per repeated chunk, so a chunk that a third of all
-documents hold is never gathered in one task.
+Chunks are summed before they are shuffled and joined on one row per repeated chunk; where very many documents hold a
+chunk, adaptive execution splits their rows.
 
 Edge cases: a null text stays null; an empty one stays empty; blank chunks are never removed; rows of one doc_id count as
 one document, so all keep what it keeps; documents with null ids come after all others, by a hash of the text; other
@@ -28,21 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIVISOR, LEAST, MOST, LONG_WORDS = 3, 2, 16, 50
+DIVISOR, LEAST, MOST = 3, 2, 16
+PASSAGE_WORDS = 50  #: what makes a passage: so many words in whole lines
 _MASK, _ODD = 2**64 - 1, 0x9E3779B97F4A7C15
 _PRIME, _BASE = 2**127 - 1, 0x2545F4914F6CDD1D9E3779B97F4A7C15
 
 
-def chunks(lines: list[str], divisor: int = DIVISOR, least: int = LEAST, most: int = MOST, long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
+def chunks(lines: list[str], divisor: int = DIVISOR, least: int = LEAST, most: int = MOST) -> list[tuple[int, int]]:
     """(first line, end) of each chunk. The rolling hash is over two lines."""
     out, start, last = [], 0, 0
     for i, line in enumerate(lines):
-        if len(line) >= 2 * long_words - 1 and len(line.split()) >= long_words:
-            if start < i:
-                out.append((start, i))
-            out.append((i, i + 1))
-            start, last = i + 1, 0
-            continue
         now = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
         rolled = (last * _ODD + now) * _ODD & _MASK
         last = now
@@ -55,34 +49,33 @@ def chunks(lines: list[str], divisor: int = DIVISOR, least: int = LEAST, most: i
     return out
 
 
-def removable(lines: list[str], start: int, end: int, long_words: int = LONG_WORDS) -> bool:
-    if end - start == 1:
-        return len(lines[start].split()) >= long_words
-    return any(not x.isspace() and x for x in lines[start:end])
+def removable(lines: list[str], start: int, end: int) -> bool:
+    """Several lines, not all of them blank."""
+    return end - start > 1 and any(not x.isspace() and x for x in lines[start:end])
 
 
-def windows(lines: list[str], long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
-    """(first line, end), in order, of the windows of two lines or more that have long_words words, but not without their
-    last line or not without their first one."""
+def windows(lines: list[str], passage_words: int = PASSAGE_WORDS) -> list[tuple[int, int]]:
+    """(first line, end), in order, of the windows that have passage_words words, but not without their last line or not
+    without their first one."""
     words = [len(x.split()) for x in lines]
     out, end, held = set(), 0, 0
     for start, own in enumerate(words):
-        while end < len(lines) and held < long_words:
+        while end < len(lines) and held < passage_words:
             held += words[end]
             end += 1
-        if held < long_words:
+        if held < passage_words:
             break
         out.add((start, end))
         held -= own
     start, held = 0, 0
     for i, own in enumerate(words):
         held += own
-        while held - words[start] >= long_words:
+        while held - words[start] >= passage_words:
             held -= words[start]
             start += 1
-        if held >= long_words:
+        if held >= passage_words:
             out.add((start, i + 1))
-    return sorted(w for w in out if w[1] - w[0] > 1)
+    return sorted(out)
 
 
 def key_of(doc_id: Column, text: Column) -> Column:
@@ -136,7 +129,7 @@ def passages(docs: DataFrame) -> DataFrame:
             at, found = [], []
             for n, text in enumerate(batch.column("text").to_pylist()):
                 lines, seen, sums = text.split("\n"), {}, [0]
-                spans = windows(lines) if len(lines) > 1 else []
+                spans = windows(lines)
                 if not spans:
                     continue
                 for line in lines:
