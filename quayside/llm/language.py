@@ -2,8 +2,8 @@
 
 A text is lower-cased; words are runs of letters, each with a space on both sides; n-grams of 1 to 3 code points are
 counted over the whole text. An n-gram is one integer of three code points, so order and ties are the same everywhere.
-A profile holds the most frequent n-grams of a language, learned from a sample of labelled rows of a stated expected size
-per language. The distance adds up how far each n-gram's rank is from its rank in the profile, and for n-grams that the
+A profile holds the most frequent n-grams of a language, learned from a sample of its different labelled texts of a stated
+expected size. All languages are learned, however rare. The distance adds up how far each n-gram's rank is from its rank in the profile, and for n-grams that the
 profile lacks the profile's size; the score is 1 less the distance's part of the largest possible.
 
 Edge cases: a text that is null or has no letter is und, score 0; equal distances go to the language first by code point;
@@ -26,8 +26,8 @@ from quayside.llm.common import map_texts
 
 WORDS = re.compile(r"[^\W\d_]+")
 TOP = 300
-SAMPLE = 2000  #: expected labelled rows that a language's profile is learned from, at most
-LANGUAGES = 1000  #: languages learned at most, those with the most labelled rows; bounds what is broadcast
+SAMPLE = 2000  #: expected labelled texts that a language's profile is learned from, at most
+LANGUAGES = 20_000  #: profiles that fit in a task; where there are more languages, learning fails rather than leave some out
 UNKNOWN = "und"
 
 
@@ -77,10 +77,10 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(labelled: DataFrame, *, top: int = TOP, sample: int = SAMPLE, seed: int = 3) -> Profiles:
     """Profiles from (doc_id, text, lang). The driver gets the languages' row counts and top n-grams of each language."""
-    rows = labelled.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = rows.join(sizes, "lang").where(part < F.lit(float(sample)) / F.col("n")).select("lang", "text")
+    rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = rows.join(sizes, "lang").where(part < F.lit(float(sample)) / F.col("n")).select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,6 +93,8 @@ def learn(labelled: DataFrame, *, top: int = TOP, sample: int = SAMPLE, seed: in
 
     sums = few.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    if (n := sizes.count()) > LANGUAGES:
+        raise ValueError(f"{n} languages, more than {LANGUAGES}")
     ranked: dict[str, list[int]] = {}
     for r in sums.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).orderBy("lang", "r").select("lang", "gram").collect():
         ranked.setdefault(r["lang"], []).append(r["gram"])

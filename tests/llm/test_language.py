@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
 from cases import DE, EN, docs, empty, prose, rows
 
 from quayside.llm import language
@@ -28,6 +30,38 @@ def test_grams_by_brute_force():
         assert list(zip((-counts).tolist(), codes.tolist())) == want
 
 
+def test_distance_by_brute_force():
+    """Ranking and out-of-place distance from the counts of brute()."""
+    rng = random.Random(3)
+    top = 40
+    ranked = lambda text: [code(g) for _, g in sorted((-n, g) for g, n in brute(text).items())][:top]
+    profiles = {k: ranked(prose(rng, w, 60)) for k, w in (("en", EN), ("de", DE), ("xx", EN[:6] + DE[:6]))}
+    for _ in range(30):
+        text = prose(rng, rng.choice([EN, DE, EN[:6] + DE[:6]]), rng.randint(1, 30))
+        own = ranked(text)
+        away = {k: sum(abs(i - p.index(g)) if g in p else top for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        lang, score = language.Profiles(profiles).predict(text, top)
+        assert lang == best and abs(score - (1 - away[best] / (top * len(own)))) < 1e-12
+
+
+def test_learns_each_language_by_brute_force(spark, monkeypatch):
+    """Counts over all texts of a language, whatever the number of languages; copies count once."""
+    rng = random.Random(4)
+    some = [(i, prose(rng, EN if i % 2 else DE, 8), "en" if i % 2 else "de") for i in range(30)] + [(100 + i, prose(rng, EN, 3), f"l{i}") for i in range(50)]
+    learned = language.learn(docs(spark, some + some), top=25, sample=1000)
+    assert [k for k, _, _ in learned.known] == sorted({x[2] for x in some})
+    for lang, codes, rank in learned.known:
+        c = Counter()
+        for t in {x[1] for x in some if x[2] == lang}:
+            c.update(brute(t))
+        want = [code(g) for _, g in sorted((-n, g) for g, n in c.items())][:25]
+        assert codes[np.argsort(rank)].tolist() == want
+    monkeypatch.setattr(language, "LANGUAGES", 51)
+    with pytest.raises(ValueError):
+        language.learn(docs(spark, some))
+
+
 def test_distance():
     p = language.Profiles({"x": [code("a"), code("b")], "y": [code("b"), code("a")]})
     assert p.predict("!!!") == p.predict(None) == p.predict("") == ("und", 0.0)
