@@ -2,7 +2,8 @@
 
 Every document gets an exponential key, -ln(u) / quality, with u from a hash of its id; a source takes whole epochs of
 all its documents first and then, in the order of the keys, as many words as its target still lacks. The running sum
-over a source is made of sums of key ranges, so a source with a third of all rows is never in one task.
+over a source is made of sums of key ranges, of about evenly many rows whatever the documents' weights and more of them
+for more rows, so a source with a third of all rows is never in one task.
 
 Edge cases: a null text has size 0; null sources form one source, last in order; an empty table gives an empty result;
 a null doc_id is hashed as "null"; rows that repeat are sampled one by one (equal keys are ordered by size); other
@@ -52,15 +53,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
     return runs.select("__src", "source", "__total", F.when(F.col("__ws") <= ws, F.col("__cap").cast("double")).otherwise(F.col("__w") * F.lit(rest)).alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, ranges: int = 256) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): the words that the mix takes of each document, repeats counted.
+def range_of(key: Column, parts: int) -> Column:
+    """A number that grows with the key. The first half splits keys of weight 1 evenly, the second those of weight 0.1."""
+    evenly = lambda x: F.least(F.lit(parts - 1), F.floor((F.lit(1.0) - F.exp(-x)) * parts)).cast("bigint")
+    return evenly(key) * parts + evenly(key * F.lit(0.1))
 
-    The document at which a source reaches its target is taken in part, so a source's sum is its target rounded down.
-    """
+
+def taken_rows(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int, rows_a_range: int, keep: bool) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), with keep also __doc, all columns of the row."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("__chars"))
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")] if keep else []
+    rows = docs.select("doc_id", "source", size.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("__chars"), *own)
+    parts = max(256, -(-docs.count() // rows_a_range))
     rows = rows.withColumn("__key", -F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("size"), F.col("__chars")))
-    rows = rows.withColumn("__range", F.least(F.lit(ranges - 1), F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * ranges)).cast("int"))
+    rows = rows.withColumn("__range", range_of(F.col("__key"), parts))
     rows = stash(rows.withColumn("__src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("__chars"))
     sums = rows.groupBy("__src", "source", "__range").agg(F.sum("size").alias("__words"))
     goals = targets(sums.groupBy("__src", "source").agg(F.sum("__words").alias("__total")), weights, share, most)
@@ -73,16 +79,22 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
     out = rows.join(sums, ["__src", "__range"])
     seen = F.col("__before") + F.sum("size").over(inside) - F.col("size")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - seen))
-    return out.select("doc_id", "size", F.col("__total").alias("source_size"), "target", (F.col("__epochs") * F.col("size") + extra).cast("bigint").alias("taken"))
+    taken = (F.col("__epochs") * F.col("size") + extra).cast("bigint").alias("taken")
+    return out.select("doc_id", "size", F.col("__total").alias("source_size"), "target", taken, *(["__doc"] if keep else []))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix as whole rows: each as often as its taken words come to, the last part rounded.
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, rows_a_range: int = 100_000) -> DataFrame:
+    """(doc_id, size, source_size, target, taken): the words that the mix takes of each document, repeats counted.
 
-    Rows that share a doc_id are repeated alike, as often as the one of them that is taken most.
+    The document at which a source reaches its target is taken in part, so a source's sum is its target rounded down.
     """
-    whole = F.expr("CASE WHEN size > 0 THEN (2 * taken + size) div (2 * size) ELSE 0 END")
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max(whole).cast("int").alias("__copies")).where("__copies > 0")
-    copies = copies.withColumnRenamed("doc_id", "__id")
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[docs[c] for c in docs.columns])
+    return taken_rows(docs, weights, share, most, seed, rows_a_range, False)
+
+
+def apply_mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, rows_a_range: int = 100_000) -> DataFrame:
+    """The documents of the mix as whole rows: each as often as its own taken words come to, the last part rounded. Rows
+    that share a doc_id, null ones too, are taken one by one."""
+    out = taken_rows(docs, weights, share, most, seed, rows_a_range, True)
+    copies = F.expr("CASE WHEN size > 0 THEN (2 * taken + size) div (2 * size) ELSE 0 END").cast("int")
+    out = out.select("__doc", copies.alias("__n")).where("__n > 0")
+    return out.select("__doc", F.explode(F.sequence(F.lit(1), "__n"))).select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
