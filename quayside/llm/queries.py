@@ -75,17 +75,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL = {
     "op3_url_filter": r"""
-WITH c AS (
-  SELECT page_id, url, DATE '2024-01-01' + CAST(((page_id * 37) % 366 + 366) % 366 AS INTEGER) AS fetched,
-    nullif(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)', 1)), '^www\.|\.$', '', 'g'), '') AS host,
-    regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)', 2) AS path, row_number() OVER () AS r
-  FROM pages),
+WITH n AS (SELECT page_id, url, replace(url, '\', '/') AS u, row_number() OVER () AS r FROM pages),
+a AS (
+  SELECT *, CASE WHEN regexp_matches(u, '^[\x00-\x20]*([A-Za-z][-A-Za-z0-9.+]*:)?//') THEN substr(u, strpos(u, '//') + 2) END AS rest FROM n),
+b AS (SELECT *, string_split(string_split(string_split(rest, '/')[1], '?')[1], '#')[1] AS authority FROM a),
+e AS (SELECT *, string_split(authority, '@')[-1] AS after FROM b),
+f AS (SELECT *, CASE WHEN starts_with(after, '[') AND contains(after, ']') THEN split_part(after, ']', 1) || ']' ELSE split_part(after, ':', 1) END AS raw FROM e),
+g AS (SELECT *, lower(CASE WHEN contains(raw, '%') THEN url_decode(raw) ELSE raw END) AS low FROM f),
+h AS (SELECT *, CASE WHEN starts_with(low, 'www.') THEN substr(low, 5) ELSE low END AS bare FROM g),
+c AS (
+  SELECT page_id, url, r, DATE '2024-01-01' + CAST(((page_id * 37) % 366 + 366) % 366 AS INTEGER) AS fetched,
+    nullif(CASE WHEN ends_with(bare, '.') THEN left(bare, -1) ELSE bare END, '') AS host,
+    string_split(string_split(substr(rest, len(authority) + 1), '?')[1], '#')[1] AS path
+  FROM h),
 p AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda x: x <> '') AS steps FROM c WHERE host IS NOT NULL),
 k AS (
   SELECT DISTINCT r, 'h:' || array_to_string(labels[i:], '.') AS key FROM (SELECT r, labels, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) AS i FROM p)
   UNION SELECT r, 'p:' || host || '/' || array_to_string(steps[:i], '/') FROM (SELECT r, host, steps, unnest(range(1, len(steps) + 1)) AS i FROM p)),
 own AS (
-  SELECT 'h:' || host AS key FROM p UNION SELECT 'p:' || host || '/' || s FROM (SELECT host, regexp_extract(path, '^/+([^/]+)', 1) AS s FROM p) WHERE s <> ''),
+  SELECT 'h:' || host AS key FROM p UNION SELECT 'p:' || host || '/' || s FROM (SELECT host, steps[1] AS s FROM p) WHERE s <> ''),
 m AS (
   SELECT key, CAST('0x' || substr(md5(key), 1, 2) AS INTEGER) AS a, DATE '2024-01-01' + CAST('0x' || substr(md5(key), 3, 2) AS INTEGER) AS d,
     CAST('0x' || substr(md5(key), 5, 2) AS INTEGER) AS c FROM own),

@@ -3,7 +3,8 @@
 Dated list events (key, action add or remove, day) become validity intervals [from, to); a capture is held against the
 entries active on the day of its fetch. A key is "h:" and a host or a parent domain, or "p:" and a host with a path prefix
 that ends at a segment. Keys are matched by an equi-join on one row per key, which holds the key's intervals in order, so
-a join never makes more rows than there are keys of captures.
+a join never makes more rows than there are keys of captures. Captures of one key are dealt to parts, and its row goes to
+each of them.
 
 Edge cases: a null or unparsable URL has no key and is never blocked; an event with a null key, action or day is ignored;
 of events of one key on one day the remove counts last; a remove with no add before it does nothing; a capture with a
@@ -16,18 +17,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: scheme, user, host, port and path of a URL.
-URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)"
+SCHEME = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
+SALTS = 8  #: parts that the captures of one key are dealt to
+
+
+def slashed(url: Column) -> Column:
+    """Browsers read a backslash as a slash."""
+    return F.translate(url, "\\", "/")
 
 
 def host_of(url: Column) -> Column:
-    """Lower case, without a leading www. or a final dot; null if there is none."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, URL, 1)), r"^www\.|\.$", "")
+    """Without user and port, percent-decoded, lower case, without a leading www. or a final dot; null if there is none.
+    An address in brackets keeps them."""
+    authority = F.regexp_extract(slashed(url), SCHEME + r"([^/?#]*)", 1)
+    after = F.regexp_replace(authority, r"^.*@", "")  # a user may hold an @ itself
+    host = F.regexp_extract(after, r"^(\[[^\]]*\]|[^:]*)", 1)
+    plain = F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)
+    host = F.regexp_replace(F.lower(F.when(host.contains("%"), plain).otherwise(host)), r"^www\.|\.$", "")
     return F.nullif(host, F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(url, URL, 2)
+    return F.regexp_extract(slashed(url), SCHEME + r"[^/?#]*([^?#]*)", 1)
 
 
 def keys_of(host: Column, path: Column) -> Column:
@@ -53,9 +64,11 @@ def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     rows = captures.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("times"))  # repeated rows come back below
     rows = rows.withColumn("host", host_of(F.col("url")))
     keyed = rows.withColumn("key", F.explode_outer(keys_of(F.col("host"), path_of(F.col("url")))))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(SALTS)).cast("int"))
+    spans = intervals(events).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     active = F.exists("spans", lambda s: (s["from"] <= F.col("fetched")) & (s["to"].isNull() | (F.col("fetched") < s["to"])))
     hit = F.when(F.coalesce(active, F.lit(False)), F.col("key"))
-    out = keyed.join(intervals(events), "key", "left").groupBy("page_id", "url", "fetched", "host", "times")
+    out = keyed.join(spans, ["key", "salt"], "left").groupBy("page_id", "url", "fetched", "host", "times")
     out = out.agg(F.count(hit).alias("n_active"), F.min(hit).alias("matched"))
     out = out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
     return out.select("page_id", "url", "host", "fetched", F.col("n_active").cast("bigint").alias("n_active"), "matched", (F.col("n_active") > 0).alias("blocked"))
