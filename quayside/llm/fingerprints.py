@@ -6,7 +6,8 @@ two texts share an entry only if they share k-mers in the same order, which foll
 part of entries that are equal.
 
 The next document is that of the next lower doc_id. Documents are dealt to id ranges and sorted; the first document of a
-range goes to the range above it as well, so only one id a range meets on the driver.
+range goes to the range above it as well, so only one id a range meets on the driver, of a bounded number of ranges. Rows
+without an id are dealt to ranges of their texts' hashes.
 
 Edge cases: null texts are empty; an empty text's fingerprint equals only that of other texts without a token; texts of
 fewer than k tokens have one k-mer; a text with fewer than l k-mers uses all; a null doc_id comes after all others, equal
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"\S{1,16}")
 K, L, M = 3, 2, 32
 KEPT = 300_000
+RANGES = 65_536  #: of ids, at most; beyond that they hold more rows, which a task streams through
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd multiplier
 _MAX = np.uint64(2**64 - 1)
 
@@ -98,36 +100,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def ranges_of(docs: DataFrame, rows_a_range: int) -> list[int]:
-    """Lower ends of id ranges of about as many rows, all but the lowest."""
-    n = max(1, -(-docs.count() // rows_a_range))
-    return sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+def ranges_of(docs: DataFrame, rows_a_range: int) -> tuple[list[int], int]:
+    """Lower ends of id ranges of about as many rows, all but the lowest, and the number of ranges of rows without an id."""
+    counts = docs.agg(F.count("doc_id").alias("ids"), F.count("*").alias("rows")).first()
+    n, k = (max(1, min(RANGES, -(-x // rows_a_range))) for x in (counts["ids"], counts["rows"] - counts["ids"]))
+    return sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else [], k
 
 
 def fingerprint(docs: DataFrame, *, rows_a_range: int = 4096) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)"""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ends = np.array(ranges_of(rows, rows_a_range), dtype=np.int64)
+    text = F.coalesce("text", F.lit(""))
+    value = F.coalesce(F.col("doc_id").cast("bigint"), F.bitwise_not(F.xxhash64(text)))  # falls from row to row; without an id by hash
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), value.alias("value"))
+    ends, bare = ranges_of(rows, rows_a_range)
+    lows = np.array(ends, dtype=np.int64)
+
+    def range_at(doc_id: int | None, value: int) -> int:
+        if doc_id is None:
+            return ((value + 2**63) * bare) >> 64
+        return bare + int(np.searchsorted(lows, value, side="right"))
 
     def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            part = [0 if x is None else int(np.searchsorted(ends, x, side="right")) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(part, pa.int32())], names=["doc_id", "part"])
+            part = list(map(range_at, b.column("doc_id").to_pylist(), b.column("value").to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("value"), pa.array(part, pa.int32())], names=["value", "part"])
 
-    tops = rows.select("doc_id").mapInArrow(part_of, "doc_id bigint, part int").groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()
-    above = {below["top"]: at["part"] for below, at in zip(tops, [*tops[1:], *tops[:1]], strict=True)}  # a range's top id: the range over it
+    tops = rows.select("doc_id", "value").mapInArrow(part_of, "value bigint, part int").groupBy("part").agg(F.max("value").alias("top")).orderBy("part").collect()
+    above = {(at["part"], at["top"]): over["part"] for at, over in zip(tops, [*tops[1:], *tops[:1]], strict=True)}  # a range's first row: the range over it
 
     @F.arrow_udf("array<struct<part:int,extra:boolean>>")
-    def places(ids: pa.Array) -> pa.Array:
+    def places(ids: pa.Array, values: pa.Array) -> pa.Array:
         out = []
-        for x in ids.to_pylist():
-            own = {"part": 0 if x is None else int(np.searchsorted(ends, x, side="right")), "extra": False}
-            out.append([own, {"part": above[x], "extra": True}] if x in above else [own])
+        for x, v in zip(ids.to_pylist(), values.to_pylist(), strict=True):
+            own = {"part": range_at(x, v), "extra": False}
+            over = above.get((own["part"], v))
+            out.append([own] if over is None else [own, {"part": over, "extra": True}])
         return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("extra", pa.bool_())])))
 
-    dealt = rows.withColumn("p", F.explode(places("doc_id"))).select("p.part", "p.extra", "doc_id", "text")
-    dealt = dealt.repartitionById(max(1, len(ends) + 1), "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    dealt = rows.withColumn("p", F.explode(places("doc_id", "value"))).select("p.part", "p.extra", "doc_id", "value", "text")
+    dealt = dealt.repartitionById(len(ends) + 1 + bare, "part").sortWithinPartitions("part", "extra", F.desc("value"), F.xxhash64("text"), "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,3 +83,16 @@ def test_edges(spark):
     assert fingerprints.fingerprint(empty(spark)).count() == 0
     one = fingerprints.fingerprint(docs(spark, [(5, "abcdef")])).collect()
     assert one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
+
+
+@pytest.mark.parametrize("size", [1000, 5])
+def test_rows_without_an_id_are_dealt_to_ranges(spark, size):
+    """In the order of their texts' hashes, after all ids, with the first of all as the last one's next."""
+    some = [(None if i % 3 else i, f"text {i} " * (1 + i % 4)) for i in range(90)]
+    df = docs(spark, some)
+    order = [r["text"] for r in df.selectExpr("doc_id", "text", "xxhash64(text) AS h").orderBy("h").collect() if r["doc_id"] is None]
+    chain = [t for i, t in sorted((x for x in some if x[0] is not None), reverse=True)] + order
+    want = {hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for t, n in zip(chain, [*chain[1:], chain[0]])}
+    got = fingerprints.fingerprint(df, rows_a_range=size).collect()
+    assert len(got) == 90 and {r["edited_sha256"] for r in got} == want
+    assert fingerprints.ranges_of(df, 5)[1] == 12 and len(fingerprints.ranges_of(df, 5)[0]) == 5
