@@ -251,7 +251,7 @@ def lists_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids.values.to_numpy()[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
 
-def train(rows: DataFrame, words: Words, *, rounds: int = 2, batch: int = 4096, shard: int = SHARD, chunk: int = 262_144) -> Network:
+def train(rows: DataFrame, words: Words, *, rounds: int = 2, batch: int = 8192, shard: int = SHARD, chunk: int = 262_144) -> Network:
     """Rounds of training copies of a network on a part of the shards each, and averaging them."""
     now = Network.first(words)
     total = rows.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
@@ -289,7 +289,8 @@ def train(rows: DataFrame, words: Words, *, rounds: int = 2, batch: int = 4096,
                 seen += flush() if wait else 0
                 yield done()
 
-        part = dealt.where(F.col("shard") % rounds == turn).repartition(-(-shards // rounds), "shard").sortWithinPartitions("shard", "place")
+        part = dealt.where(F.col("shard") % rounds == turn)
+        part = part.repartitionById(-(-shards // rounds), F.floor(F.col("shard") / rounds).cast("int")).sortWithinPartitions("shard", "place")
         weighted = (F.col("x").cast("decimal(20,0)") * F.col("n").cast("decimal(12,0)")).alias("x")
         sums = part.mapInArrow(learn, "i int, x bigint, n bigint").select("i", weighted, "n").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         means = sums.select("i", (F.col("x") / F.col("n")).cast("double").alias("x")).orderBy("i").collect()
@@ -298,7 +299,7 @@ def train(rows: DataFrame, words: Words, *, rounds: int = 2, batch: int = 4096,
     return now
 
 
-def score(rows: DataFrame, words: Words, net: Network, counts: DataFrame, chunk: int = 4096) -> DataFrame:
+def score(rows: DataFrame, words: Words, net: Network, counts: DataFrame, chunk: int = 16_384) -> DataFrame:
     """(doc_id, n_tokens, pll, mean_pll, n_once)"""
     flat = net.flat()
 
