@@ -9,32 +9,30 @@ from quayside.functions import scalars as S
 
 c = F.col
 TIERS = ("nvme", "peer", "cloud")
-_LABEL = r'([^=,\s][^=]*)="((?:[^"\\]|\\.)*)"'
+_LABEL = r'([^=,\s](?:[^=]*[^=\s])?)\s*="((?:[^"\\]|\\.)*)"'
 
 
 def parse_metrics(lines: DataFrame) -> DataFrame:
     """Of (line, ...) samples (name, labels, value, ...): comments, lines without a name or a number and unclosed labels
     are skipped, a time after the value is ignored, escapes in labels are undone; NaN and infinities are numbers."""
     own = [x for x in lines.columns if x != "line"]
-    t = lines.select(*own, F.trim(F.translate(c("line"), "\t\r", "  ")).alias("__l")).where((c("__l") != "") & ~c("__l").startswith("#") & ~c("__l").startswith("{"))
-    open_ = F.instr("__l", "{")
-    close = F.length("__l") - F.instr(F.reverse("__l"), "}") + 1  # of the last }, past the end if there is none
-    t = t.select(*own, "__l", open_.alias("__a"), F.when(open_ > 0, close).alias("__b")).where("__a = 0 OR (__b > __a AND __b <= length(__l))")
-    plain = F.split("__l", r"\s+", 2)
-    labelled = c("__a") > 0
-    t = t.select(
-        *own, F.trim(F.when(labelled, F.expr("substr(__l, 1, __a - 1)")).otherwise(plain[0])).alias("name"),
-        F.when(labelled, F.expr("substr(__l, __a + 1, __b - __a - 1)")).alias("__in"), F.trim(F.when(labelled, F.expr("substr(__l, __b + 1)")).otherwise(F.get(plain, F.lit(1)))).alias("__rest"),
-    )
-    # filters are pushed below the selects and bring their expressions with them, so the number is read in one step: the
-    # cast knows NaN, Inf, +Inf and -Inf
-    value = F.split("__rest", r"\s+", 2)[0].try_cast("double")
-    t = t.select(*own, "name", "__in", value.alias("value")).where("name <> '' AND value IS NOT NULL")
-    found = lambda i: F.coalesce(F.regexp_extract_all("__in", F.lit(_LABEL), F.lit(i)), F.array().cast("array<string>"))
-    t = t.select(*own, "name", "value", F.transform(found(1), lambda x: F.trim(x)).alias("__k"), F.transform(found(2), lambda x: F.when(F.contains(x, F.lit("\\")), S.unescape_label(x)).otherwise(x)).alias("__v"))
-    last = F.filter(F.arrays_zip("__k", "__v"), lambda e, i: ~F.array_contains(F.slice(c("__k"), i + 2, F.size("__k")), e["__k"]))
-    again = F.map_from_entries(F.transform(last, lambda e: F.struct(e["__k"], e["__v"])))
-    labels = F.when(F.size(F.array_distinct("__k")) == F.size("__k"), F.map_from_arrays("__k", "__v")).otherwise(again)
+    line = F.trim(F.translate(c("line"), "\t\r", "  "))
+    labelled = F.regexp_replace(line, r"^([^{]*)\{(.*)\}([^}]*)$", "$1\x01$3\x01$2")  # unchanged if a label is not closed
+    plain = F.regexp_replace(line, r"^([^ ]+) *(.*)$", "$1\x01$2\x01")
+    cut = F.split(F.when(F.contains(line, F.lit("{")), labelled).otherwise(plain), "\x01", 3)
+    # a generator's row is made once: selects after it and filters, which move below them, only read it
+    t = lines.select(*own, F.explode(F.array(cut)).alias("__p")).where(F.size("__p") == 3)
+    name = F.trim(F.get("__p", F.lit(0)))
+    value = F.substring_index(F.trim(F.get("__p", F.lit(1))), " ", 1).try_cast("double")  # knows NaN, Inf, +Inf and -Inf
+    t = t.where((name != "") & ~name.startswith("#") & value.isNotNull()).select(*own, name.alias("name"), F.get("__p", F.lit(2)).alias("__in"), value.alias("value"))
+    found = lambda i: F.regexp_extract_all("__in", F.lit(_LABEL), F.lit(i))
+    plain_values = F.transform(found(2), lambda x: F.when(F.contains(x, F.lit("\\")), S.unescape_label(x)).otherwise(x))
+    pairs = F.struct(found(1).alias("k"), F.when(F.contains("__in", F.lit("\\")), plain_values).otherwise(found(2)).alias("v"))
+    t = t.select(*own, "name", "value", F.explode(F.array(pairs)).alias("__l"))
+    k, v = c("__l.k"), c("__l.v")
+    last = F.filter(F.arrays_zip(k.alias("k"), v.alias("v")), lambda e, i: ~F.array_contains(F.slice(k, i + 2, F.size(k)), e["k"]))
+    again = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    labels = F.when(F.size(F.array_distinct(k)) == F.size(k), F.map_from_arrays(k, v)).otherwise(again)
     return t.select(*own, "name", labels.alias("labels"), "value")
 
 

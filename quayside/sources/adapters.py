@@ -50,13 +50,11 @@ def file_locations(d) -> str:
 
 
 def replicas(d) -> str:
-    """The catalog after all upserts: per (path, peer, tier) the last row, at the place of the first. Rows are ranked by the
+    """The catalog after all upserts: per (path, peer, tier) the last row, at the place of the first. Rows are grouped by the
     numbers that paths, peers and tiers are made of; only those that stay get their texts."""
-    w = "PARTITION BY l_partkey, CASE WHEN (l_orderkey + l_linenumber) % 10 = 0 THEN l_linenumber ELSE -1 END, l_suppkey, l_linenumber % 3"
     n = "l_orderkey * 10 + l_linenumber"
-    ranked = f"""(SELECT * FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, min({n}) OVER ({w}) AS first_seq,
-  row_number() OVER ({w} ORDER BY {n} DESC, l_shipdate DESC, l_linenumber DESC) AS rn FROM {d.table("lineitem")}) u WHERE rn = 1) v"""
-    return _located(d, ranked, "first_seq")
+    part = "CASE WHEN (l_orderkey + l_linenumber) % 10 = 0 THEN l_linenumber ELSE -1 END"
+    return _located(d, d.last_rows(d.table("lineitem"), n, part), "first_seq")
 
 
 def read_events(d) -> str:
