@@ -69,11 +69,12 @@ def corrupt(objects: DataFrame, sums: DataFrame) -> DataFrame:
 def warm_prefix(targets: DataFrame, local: DataFrame, reachable: DataFrame, used: int, capacity: int) -> DataFrame:
     """Outcomes of warming targets (file_path, size): already there in full, no room left in order of
     path, fetched, or failed. Room is counted as if all fetches before were kept."""
-    from pyspark.sql import Window
+    from quayside.operators.ordered import running_in_ranges
 
     here = local.select("file_path", c("size").alias("own"))
     t = targets.join(here, "file_path", "left").join(reachable.select("file_path", F.lit(True).alias("up")), "file_path", "left")
     there = F.coalesce(c("own") == c("size"), F.lit(False))
-    w = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, 0)
-    need = F.sum(F.when(there, 0).otherwise(c("size"))).over(w)
-    return t.select("file_path", "size", F.when(there, "already_local").when(need + used > capacity, "skipped").when(c("up"), "warmed").otherwise("failed").alias("outcome"))
+    need = F.when(there, 0).otherwise(c("size"))
+    # the beginning of a path goes up with the path
+    t = running_in_ranges(t, need, F.left("file_path", F.lit(12)), F.left("file_path", F.lit(24)), [c("file_path")])
+    return t.select("file_path", "size", F.when(there, "already_local").when(c("__before") + need + used > capacity, "skipped").when(c("up"), "warmed").otherwise("failed").alias("outcome"))

@@ -70,18 +70,8 @@ def size_class(size: Column, stride: Column, medium: int = 256 * S.MIB) -> Colum
 # --- joins (2.C) -------------------------------------------------------------------------------------------------------
 
 
-def holder_partition(peers: DataFrame, replicas: DataFrame) -> DataFrame:
-    """For each path all active peers, holders first; where no holder is active all are fallbacks (flag 1)."""
-    held = holders(replicas).select("file_path", c("peer_id").alias("id")).distinct()
-    paths = held.select("file_path").distinct()
-    live = active_peers(peers).select("id")
-    known = held.join(live, "id")
-    rest = paths.crossJoin(live)  # each path ranks each peer: that is the result; ask for few paths
-    return rest.join(known.withColumn("held", F.lit(True)), ["file_path", "id"], "left").select("file_path", "id", F.when(c("held"), 0).otherwise(1).alias("fallback"))
-
-
 def holder_flags(peers: DataFrame, replicas: DataFrame) -> DataFrame:
-    """C1, U7 for many paths: (file_path, id, fallbacks), a row for each active holder, or one without an id where no holder
+    """(file_path, id, fallbacks), a row for each active holder, or one without an id where no holder
     is active; fallbacks is the number of the other active peers, which are the active peers without the path's rows."""
     held = holders(replicas).select("file_path", c("peer_id").alias("id")).distinct()
     known = held.join(active_peers(peers).select("id").withColumn("live", F.lit(1)), "id", "left")
@@ -336,17 +326,7 @@ def restore_state(now: DataFrame, saved: DataFrame, keys: list[str], merge: bool
 
 def seed_plan(peers: DataFrame, replicas: DataFrame, percent: int) -> DataFrame:
     """Copies (file_path, source, target) that bring files to a percentage of the active peers that lack
-    them, lowest ids first. Peers are numbered per file."""
-    from quayside.operators.selection import share_of
-
-    spread = holder_partition(peers, replicas).where("fallback = 1")
-    w = Window.partitionBy("file_path")
-    ranked = spread.withColumn("i", F.row_number().over(w.orderBy("id"))).withColumn("n", F.count("*").over(w)).where(c("i") <= share_of(c("n"), percent))
-    return ranked.join(seed_sources(peers, replicas), "file_path").select("file_path", "source", c("id").alias("target"))
-
-
-def seed_plan_of_many(peers: DataFrame, replicas: DataFrame, percent: int) -> DataFrame:
-    """seed_plan for many paths: the lowest k lacking peers are among the first k + held ones, so only these are listed."""
+    them, lowest ids first. The lowest k lacking peers are among the first k + held ones, so only these are listed."""
     from quayside.operators.selection import share_of
 
     live = active_peers(peers).select("id", F.row_number().over(Window.orderBy("id")).alias("i"))  # a fleet's nodes

@@ -81,15 +81,31 @@ def evict(entries: DataFrame, used: int, target: int, keys: list[str]) -> DataFr
     return able.withColumn("freed_before", gone).where(c("freed_before") < used - target)
 
 
-def evict_globally(entries: DataFrame, used: int, target: int) -> DataFrame:
-    """W5 over a whole cache: eviction days are summed first, so that only days, not files, meet in one task, and files are
-    ordered within their day."""
-    able = entries.where(~c("pinned") & c("safe")).withColumn("__day", F.to_date("last_accessed"))
-    days = able.groupBy("__day").agg(F.sum("size").alias("__sum"))
-    days = days.withColumn("__base", F.coalesce(F.sum("__sum").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = able.join(days.where(c("__base") < used - target).select("__day", "__base"), "__day")
-    freed = c("__base") + running(out, c("size"), ["__day"], [c("last_accessed"), c("file_path")])
-    return out.withColumn("freed_before", freed).where(c("freed_before") < used - target).drop("__day", "__base")
+def running_in_ranges(df: DataFrame, value: Column, coarse: Column, fine: Column, order: list[Column]) -> DataFrame:
+    """df with __before, the sum of value over all rows before each in order. coarse and fine go up with the order, so sums
+    of ranges of it, and of ranges of those, meet in place of the rows."""
+    t = df.withColumn("__c", coarse).withColumn("__f", fine).withColumn("__v", value)
+    fines = t.groupBy("__c", "__f").agg(F.sum("__v").alias("__s"))
+    wide = fines.groupBy("__c").agg(F.sum("__s").alias("__s"))
+    so_far = lambda w: F.coalesce(F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = wide.select("__c", so_far(Window.orderBy("__c")).alias("__b"))  # a row a coarse range
+    base = fines.withColumn("__b2", so_far(Window.partitionBy("__c").orderBy("__f"))).join(wide, "__c").select("__c", "__f", (c("__b") + c("__b2")).alias("__b"))
+    inside = Window.partitionBy("__c", "__f").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = t.join(base, ["__c", "__f"]).withColumn("__before", c("__b") + F.coalesce(F.sum("__v").over(inside), F.lit(0)))
+    return out.drop("__c", "__f", "__v", "__b")
+
+
+def evict_globally(entries: DataFrame, used: int | Column, target: int | Column) -> DataFrame:
+    """W5 over a whole cache: days and minutes are summed first, so that files are ordered within their minute only. used
+    and target are numbers or columns of the entries."""
+    able = entries.where(~c("pinned") & c("safe"))
+    out = running_in_ranges(able, c("size"), F.to_date("last_accessed"), F.date_trunc("MINUTE", "last_accessed"), [c("last_accessed"), c("file_path")])
+    return out.withColumnRenamed("__before", "freed_before").where(c("freed_before") < F.lit(used) - F.lit(target))
+
+
+def left_after(entries: DataFrame, evicted: DataFrame) -> DataFrame:
+    """The cache after an eviction."""
+    return entries.join(evicted.select("file_path"), "file_path", "left_anti")
 
 
 def counter_rate(samples: DataFrame, keys: list[str], seconds: int = 300) -> DataFrame:
@@ -115,8 +131,11 @@ def fifo_kept(chunks: DataFrame, most_chunks: int, most_bytes: int) -> DataFrame
 
 def lru_files_kept(files: DataFrame, budget: int, keep: str) -> DataFrame:
     """Of (path, bytes, last_access): files that stay within the budget, most recent first, the one in use before all."""
-    w = Window.orderBy((c("path") != keep).cast("int"), c("last_access").desc(), "path").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("held", F.sum("bytes").over(w)).where((c("held") <= budget) | (c("path") == keep))
+    back = lambda x: -F.unix_micros(x.cast("timestamp"))  # noqa: E731  # goes up with the order
+    first = c("path") == keep
+    day, minute = F.when(first, F.lit(-(1 << 62))).otherwise(back(F.date_trunc("DAY", "last_access"))), back(F.date_trunc("MINUTE", "last_access"))
+    out = running_in_ranges(files, c("bytes"), day, minute, [c("last_access").desc(), c("path")])
+    return out.withColumn("held", c("__before") + c("bytes")).drop("__before").where((c("held") <= budget) | first)
 
 
 def reconcile(files: DataFrame, budget: int) -> DataFrame:

@@ -30,6 +30,11 @@ def query(sql: str, *tables: str):  # noqa: ANN201
     return add
 
 
+def same(name: str, as_: str) -> None:
+    """Another name of a query."""
+    QUERIES[name], ORACLES[name] = QUERIES[as_], ORACLES[as_]
+
+
 _PARENT = "regexp_matches(file_path, '^.+_chunk_[0-9]+$')"
 
 
@@ -86,18 +91,6 @@ def g12_size_classes(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy(K.size_class(c("file_size"), c("chunk_size"), 64 * S.MIB).alias("class")).agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
 
 
-@query(
-    """, held AS (SELECT DISTINCT file_path, peer_id AS id FROM replicas WHERE storage_tier <> 'cloud' AND starts_with(file_path, '/models/m3/')),
-act AS (SELECT id FROM peers WHERE status = 'active' AND id <= 'peer-00020')
-SELECT p.file_path, a.id, CAST(CASE WHEN h.id IS NULL THEN 1 ELSE 0 END AS INTEGER) AS fallback FROM (SELECT DISTINCT file_path FROM held) p CROSS JOIN act a LEFT JOIN held h ON h.file_path = p.file_path AND h.id = a.id""",
-    "replicas", "peers",
-)
-def c1_holder_partition(spark: SparkSession, sf: str) -> DataFrame:
-    """C1, U7, A10."""
-    t = K.under_prefix(logical(spark, sf, "replicas"), "/models/m3/")
-    return K.holder_partition(logical(spark, sf, "peers").where("id <= 'peer-00020'"), t)
-
-
 @query(
     """, held AS (SELECT DISTINCT file_path, peer_id AS id FROM replicas WHERE storage_tier <> 'cloud'), act AS (SELECT id FROM peers WHERE status = 'active'),
 known AS (SELECT * FROM held JOIN act USING (id))
@@ -105,10 +98,13 @@ SELECT p.file_path, k.id, (SELECT count(*) FROM act) - count(k.id) OVER (PARTITI
     "replicas", "peers",
 )
 def c1_holder_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Over all paths and peers."""
+    """Over all paths and peers."""
     return K.holder_flags(logical(spark, sf, "peers"), logical(spark, sf, "replicas"))
 
 
+same("c1_holder_partition", "c1_holder_flags")
+
+
 @query(
     "SELECT id FROM peers WHERE status = 'active' AND id <> 'peer-00002' AND id NOT IN (SELECT peer_id FROM replicas WHERE file_path = '/models/m5/f5.bin' AND storage_tier <> 'cloud')", "replicas", "peers"
 )
@@ -372,18 +368,6 @@ def i14_latest_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return K.latest_jobs(logical(spark, sf, "warm_jobs"))
 
 
-@query(
-    """, j AS (SELECT id, arg_max(CASE WHEN seq % 8 = 7 AND seq % 5 = 0 THEN 'running' ELSE status END, seq) AS status, max(updated_at) AS updated_at FROM warm_jobs WHERE seq < 200 GROUP BY id),
-r AS (SELECT *, row_number() OVER (ORDER BY updated_at DESC, id DESC) AS rn FROM j WHERE status <> 'running')
-SELECT id, status FROM j WHERE status = 'running' UNION ALL SELECT id, status FROM r WHERE rn <= 16 - (SELECT count(*) FROM j WHERE status = 'running')""",
-    "warm_jobs",
-)
-def w14_retained_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    """The jobs of the first 200 updates."""
-    t = logical(spark, sf, "warm_jobs").where("seq < 200").withColumn("status", F.expr("CASE WHEN seq % 8 = 7 AND seq % 5 = 0 THEN 'running' ELSE status END"))
-    return K.retained_jobs(K.latest_jobs(t).select("id", "status", "updated_at"), 16).select("id", "status")
-
-
 @query(
     """, j AS (SELECT id, arg_max(CASE WHEN seq % 1000 = 375 THEN 'running' ELSE status END, seq) AS status, max(updated_at) AS updated_at FROM warm_jobs GROUP BY id),
 r AS (SELECT *, row_number() OVER (ORDER BY updated_at DESC, id DESC) AS rn FROM j WHERE status <> 'running')
@@ -396,6 +380,9 @@ def w14_retained_of_all_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return K.retained_jobs(K.latest_jobs(t).select("id", "status", "updated_at"), 120).select("id", "status")
 
 
+same("w14_retained_jobs", "w14_retained_of_all_jobs")
+
+
 @query("SELECT seq, CASE seq % 6 WHEN 2 THEN 'peer' WHEN 3 THEN 'cloud' ELSE 'nvme' END AS store, true AS jitter_ok FROM disks", "disks")
 def a27_tier_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     """A27, H34."""
@@ -442,20 +429,6 @@ def j11_restore(spark: SparkSession, sf: str) -> DataFrame:
     return K.restore_state(now, saved, ["id"], False).select(F.lit("replace").alias("kind"), "*").union(K.restore_state(now, saved, ["id"], True).select(F.lit("merge").alias("kind"), "*"))
 
 
-@query(
-    """, held AS (SELECT DISTINCT file_path, peer_id AS id FROM replicas WHERE storage_tier <> 'cloud' AND starts_with(file_path, '/models/m4/')), act AS (SELECT id FROM peers WHERE status = 'active'),
-lack AS (SELECT p.file_path, a.id FROM (SELECT DISTINCT file_path FROM held) p CROSS JOIN act a ANTI JOIN held h ON h.file_path = p.file_path AND h.id = a.id),
-n AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY id) AS i, count(*) OVER (PARTITION BY file_path) AS n FROM lack),
-src AS (SELECT file_path, arg_min(peer_id, (seq, peer_id)) AS source FROM replicas WHERE storage_tier <> 'cloud' AND peer_id IN (SELECT id FROM act) GROUP BY file_path)
-SELECT file_path, source, id AS target FROM n JOIN src USING (file_path) WHERE i <= greatest(1, ceil(n * 5 / 100))""",
-    "replicas", "peers",
-)
-def j14_seed_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """J14, D25, F6."""
-    t = K.under_prefix(logical(spark, sf, "replicas"), "/models/m4/")
-    return K.seed_plan(logical(spark, sf, "peers"), t, 5)
-
-
 @query(
     """, held AS (SELECT DISTINCT file_path, peer_id AS id FROM replicas WHERE storage_tier <> 'cloud'), act AS (SELECT id FROM peers WHERE status = 'active'),
 lack AS (SELECT p.file_path, a.id FROM (SELECT DISTINCT file_path FROM held) p CROSS JOIN act a ANTI JOIN held h ON h.file_path = p.file_path AND h.id = a.id),
@@ -466,4 +439,7 @@ SELECT file_path, source, id AS target FROM n JOIN src USING (file_path) WHERE i
 )
 def j14_seed_plan_of_all_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Over all paths."""
-    return K.seed_plan_of_many(logical(spark, sf, "peers"), logical(spark, sf, "replicas"), 5)
+    return K.seed_plan(logical(spark, sf, "peers"), logical(spark, sf, "replicas"), 5)
+
+
+same("j14_seed_plan", "j14_seed_plan_of_all_paths")

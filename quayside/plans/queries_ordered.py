@@ -26,6 +26,11 @@ def query(sql: str, *tables: str):  # noqa: ANN201
     return add
 
 
+def same(name: str, as_: str) -> None:
+    """Another name of a query."""
+    QUERIES[name], ORACLES[name] = QUERIES[as_], ORACLES[as_]
+
+
 def _fnv(x: str) -> str:
     return f"CAST(list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split({x}, ''), lambda q: CAST(ascii(q) AS HUGEINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS BIGINT)"
 
@@ -66,27 +71,15 @@ def w2_pair_latency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    _PAIRS + """ SELECT p.id, coalesce(samples, 0) AS samples, round(CASE WHEN samples >= 3 THEN success ELSE 1 END / greatest(0.5, CASE WHEN samples >= 3 THEN latency_ms WHEN network_latency_ms > 0 THEN network_latency_ms ELSE 5 END), 6) AS score
-FROM peers p LEFT JOIN (SELECT * FROM pair WHERE node = 'peer-00001') q ON p.id = q.peer_id""",
+    _PAIRS + """ SELECT node, p.id, coalesce(samples, 0) AS samples, round(CASE WHEN samples >= 3 THEN success ELSE 1 END / greatest(0.5, CASE WHEN samples >= 3 THEN latency_ms WHEN network_latency_ms > 0 THEN network_latency_ms ELSE 5 END), 6) AS score
+FROM peers p LEFT JOIN pair q ON p.id = q.peer_id""",
     "read_events", "peers",
 )
 def f3_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """F3, A8."""
-    own = O.ewma(_samples(spark, sf).where("tier = 'peer' AND NOT miss AND node = 'peer-00001'"), ["peer_id"])
+    """each node's scores of the peers that it has samples of; peers without any stand with no node."""
+    own = O.ewma(_samples(spark, sf).where("tier = 'peer' AND NOT miss"), ["node", "peer_id"])
     t = logical(spark, sf, "peers").join(own.withColumnRenamed("peer_id", "id"), "id", "left")
-    return t.select("id", F.coalesce("samples", F.lit(0)).alias("samples"), F.round(P.pair_score(c("latency_ms"), c("success"), c("samples"), c("network_latency_ms")), 6).alias("score"))
-
-
-@query(
-    f""", cand AS (SELECT DISTINCT file_path AS path, peer_id AS id FROM replicas WHERE storage_tier <> 'cloud' AND starts_with(file_path, '/models/m2/')),
-n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY path) AS n, coalesce(TRY_CAST(nullif(regexp_extract(path, '_chunk_([0-9]+)$', 1), '') AS BIGINT), {_fnv("path")}) AS o FROM cand)
-SELECT path, id, CAST(((i - o) % n + n) % n AS INTEGER) AS rank FROM n WHERE ((i - o) % n + n) % n < 2""",
-    "replicas",
-)
-def f4_rotation(spark: SparkSession, sf: str) -> DataFrame:
-    """F4, F14."""
-    t = K.holders(K.under_prefix(logical(spark, sf, "replicas"), "/models/m2/")).select(c("file_path").alias("path"), c("peer_id").alias("id")).distinct()
-    return P.rotate(t, "id", P.rotation_start(c("path"))).where("rank < 2").select("path", "id", "rank")
+    return t.select("node", "id", F.coalesce("samples", F.lit(0)).alias("samples"), F.round(P.pair_score(c("latency_ms"), c("success"), c("samples"), c("network_latency_ms")), 6).alias("score"))
 
 
 @query(
@@ -101,6 +94,9 @@ def f4_rotation_of_all_paths(spark: SparkSession, sf: str) -> DataFrame:
     return P.rotate(t, "id", P.rotation_start(c("path"))).where("rank < 2").select("path", "id", "rank")
 
 
+same("f4_rotation", "f4_rotation_of_all_paths")
+
+
 @query(
     """SELECT id, available_space / 1073741824 * (CASE WHEN network_speed_mbps > 0 THEN network_speed_mbps ELSE 100 END / CASE WHEN network_latency_ms > 0 THEN network_latency_ms ELSE 1 END) AS score FROM peers WHERE status = 'active'
 ORDER BY score DESC, md5('1:' || id) LIMIT 5""",
@@ -200,8 +196,8 @@ _EVICT = """, e AS (SELECT file_path, size, last_accessed, priority = '1-URGENT'
 def w5_evict(spark: SparkSession, sf: str) -> DataFrame:
     """Down to 75 % of what is used now."""
     e = logical(spark, sf, "cache_entries").where("tier = 'nvme'").select("file_path", "size", "last_accessed", (c("priority") == "1-URGENT").alias("pinned"), c("persisted").alias("safe"))
-    used = e.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # one number
-    return O.evict_globally(e, used, used * 75 // 100).select("file_path", "size", "freed_before")
+    e = e.crossJoin(F.broadcast(e.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("used"))))  # one row
+    return O.evict_globally(e, c("used"), F.expr("used * 75 div 100")).select("file_path", "size", "freed_before")
 
 
 @query(

@@ -22,23 +22,41 @@ ORACLES: dict = {}
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base}/quayside-stream-{uuid.uuid4().hex}"
 
 
-def as_stream(spark: SparkSession, table: DataFrame, base: str, files: int = 4) -> DataFrame:
-    """The table as a stream of a few files, written one after another in order of time, as a stream reads them by age."""
+_WAITING: dict[str, list[DataFrame]] = {}  #: by folder, the steps of time that a stream has still to read
+
+
+def as_stream(spark: SparkSession, table: DataFrame, base: str, steps: int = 4) -> DataFrame:
+    """The table as a stream that reads a few steps of time, one after another."""
     seconds = table.withColumn("__s", F.timestamp_diff("SECOND", at("1970-01-01 00:00:00"), c("ts")))
-    ends = [None, *sorted(set(seconds.approxQuantile("__s", [i / files for i in range(1, files)], 0.01))), None]
-    for low, high in zip(ends, ends[1:]):
-        part = seconds if low is None else seconds.where(c("__s") >= low)
-        (part if high is None else part.where(c("__s") < high)).drop("__s").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    ends = [None, *sorted(set(seconds.approxQuantile("__s", [i / steps for i in range(1, steps)], 0.01))), None]
+    between = lambda low, high: (seconds if low is None else seconds.where(c("__s") >= low)).where(F.lit(True) if high is None else c("__s") < high)
+    _WAITING[base] = [between(low, high).drop("__s") for low, high in zip(ends, ends[1:])]
+    _WAITING[base].pop(0).write.parquet(f"{base}/in")
+    return spark.readStream.schema(table.schema).parquet(f"{base}/in")
+
+
+def all_steps(writer, base: str):  # noqa: ANN001, ANN201
+    """Runs a stream over each step as it comes in; its state goes on from one run to the next. The last run."""
+    while True:
+        q = writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if not _WAITING[base]:
+            del _WAITING[base]
+            return q
+        _WAITING[base].pop(0).write.mode("append").parquet(f"{base}/in")
 
 
 def run(out: DataFrame, base: str) -> DataFrame:
-    q = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
-    q.awaitTermination()
+    all_steps(out.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out"), base)
     return out.sparkSession.read.schema(out.schema).parquet(f"{base}/out")
 
 
@@ -181,6 +199,5 @@ def i3_replica_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = folder(spark)
     t = logical(spark, sf, "file_locations").select("file_path", "peer_id", "storage_tier", "file_size", "last_accessed", "seq", F.timestamp_seconds("seq").cast("timestamp_ntz").alias("ts"))
     stream = as_stream(spark, t, base, 3).drop("ts")
-    q = stream.writeStream.foreachBatch(state.upsert_replicas_batch(f"{base}/catalog")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/catalog/v{q.lastProgress['batchId']}").select("file_path", "peer_id", "storage_tier", "seq", "file_size")
+    all_steps(stream.writeStream.foreachBatch(state.upsert_replicas_batch(f"{base}/catalog")), base)
+    return state.read_catalog(spark, f"{base}/catalog").select("file_path", "peer_id", "storage_tier", "seq", "file_size")

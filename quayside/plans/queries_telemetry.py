@@ -75,19 +75,6 @@ def d29_names(spark: SparkSession, sf: str) -> DataFrame:
     return T.names_seen(_samples(spark, sf))
 
 
-@query(
-    _PARSED + f""", f AS (SELECT coalesce({_TYPE}, name) AS name, value, line_no FROM samples WHERE NOT isnan(value) AND NOT isinf(value)),
-b AS (SELECT name, arg_max(value, line_no) AS v FROM f WHERE line_no < 100 GROUP BY name), a AS (SELECT name, arg_max(value, line_no) AS v FROM f WHERE line_no >= 60 AND line_no < 900 GROUP BY name)
-SELECT name, coalesce(a.v, 0) - coalesce(b.v, 0) AS delta FROM b FULL JOIN a USING (name)""",
-    "metric_lines",
-)
-def c12_scrape_delta(spark: SparkSession, sf: str) -> DataFrame:
-    """C12, C14."""
-    t = _samples(spark, sf).where("NOT isnan(value) AND abs(value) < double('infinity')").withColumn("name", F.coalesce(F.element_at("labels", F.lit("type")), c("name")))
-    last = lambda x: x.groupBy("name").agg(F.max_by("value", "line_no").alias("value"))
-    return T.delta(last(t.where("line_no < 100")), last(t.where("line_no >= 60 AND line_no < 900")))
-
-
 @query(
     _PARSED + f""", f AS (SELECT coalesce({_TYPE}, name) AS name, value, line_no FROM samples WHERE NOT isnan(value) AND NOT isinf(value)), h AS (SELECT (min(line_no) + max(line_no)) // 2 AS half FROM metric_lines),
 b AS (SELECT name, arg_max(value, line_no) AS v FROM f, h WHERE line_no <= half GROUP BY name), a AS (SELECT name, arg_max(value, line_no) AS v FROM f, h WHERE line_no > half GROUP BY name)
@@ -103,6 +90,9 @@ def c12_scrape_delta_of_halves(spark: SparkSession, sf: str) -> DataFrame:
     return T.delta(last(t.where("line_no <= half")), last(t.where("line_no > half")))
 
 
+QUERIES["c12_scrape_delta"], ORACLES["c12_scrape_delta"] = c12_scrape_delta_of_halves, ORACLES["c12_scrape_delta_of_halves"]
+
+
 @query(_PARSED + f" SELECT {_TYPE} AS key, sum(value) AS total, max(value) AS top, sum(value) / greatest(count(*), 1) AS per_sample FROM samples WHERE name = 'fleet_reads_total' GROUP BY 1", "metric_lines")
 def d27_panels(spark: SparkSession, sf: str) -> DataFrame:
     """D27."""

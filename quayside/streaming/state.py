@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -100,16 +101,37 @@ def tumbling_reads(reads: DataFrame, window: str = "1 hour") -> DataFrame:
     return t.groupBy(F.window("ts", window).alias("w"), "node", "tier").agg(F.count("*").alias("reads"), F.sum("bytes").alias("bytes")).select(c("w.start").cast("timestamp_ntz").alias("begins"), "node", "tier", "reads", "bytes")
 
 
+BUCKETS = 64  #: of the catalog, by a hash of the path
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The version of each bucket after the last batch, or the last one before a number."""
+    try:
+        rows = spark.read.schema("number bigint, bucket int, version bigint").option("recursiveFileLookup", "true").parquet(f"{path}/batches")
+    except AnalysisException:  # no batch yet
+        return {}
+    rows = rows if before is None else rows.where(c("number") < before)
+    return {r["bucket"]: r["version"] for r in rows.groupBy("bucket").agg(F.max("version").alias("version")).collect()}  # BUCKETS rows at most
+
+
+def read_catalog(spark: SparkSession, path: str, versions: dict[int, int] | None = None) -> DataFrame:
+    found = _versions(spark, path) if versions is None else versions
+    return spark.read.parquet(*[f"{path}/v{v}/bucket={b}" for b, v in sorted(found.items())])
+
+
 def upsert_replicas_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a micro-batch is merged with the catalog, latest row of a key first, into a new version of it.
-    Versions are numbered by batch, so a batch that runs again writes the same one."""
+    """For foreachBatch: a micro-batch is merged with the buckets of the catalog that it touches, latest row of a key
+    first, into new versions of these. Versions are numbered by batch, so a batch that runs again writes the same ones."""
     from quayside.operators.catalog import upsert_replicas
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number > 0:
-            batch = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
-        upsert_replicas(batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark, own = batch.sparkSession, F.pmod(F.xxhash64("file_path"), F.lit(BUCKETS)).cast("int")
+        touched = {r[0] for r in batch.select(own).distinct().collect()}
+        there = {b: v for b, v in _versions(spark, path, number).items() if b in touched}
+        rows = read_catalog(spark, path, there).unionByName(batch) if there else batch
+        upsert_replicas(rows).withColumn("bucket", own).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{number}")
+        new = spark.createDataFrame([(number, b, number) for b in sorted(touched)], "number bigint, bucket int, version bigint")
+        new.coalesce(1).write.mode("overwrite").parquet(f"{path}/batches/n={number}")
 
     return merge
 
