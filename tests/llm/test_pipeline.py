@@ -4,6 +4,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from test_jaccard_join import brute as near
+from cases import docs as made, empty, rows
 from test_line_dedup import brute as deduped
 from test_packing import laid_out
 from tokenizers import Tokenizer
@@ -39,3 +40,32 @@ def test_run_gives_the_same(spark, sf):
     a, b = (corpus_pipeline.run(spark, sf) for _ in range(2))
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert a.select(*key).exceptAll(b.select(*key)).isEmpty() and a.count() == b.count() > 0
+
+
+def stages(spark, docs, base):
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, "")
+        assert i == 4 or out.columns == docs.columns
+        out.write.parquet(f"{base}/{i}")
+        docs = spark.read.parquet(f"{base}/{i}")
+    return docs
+
+
+def test_awkward_documents(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns."""
+    got = stages(spark, made(spark), tmp_path).collect()
+    texts = {r[0]: r[1] for r in rows()}
+    assert {r["doc_id"] for r in got} <= {r[0] for r in rows() if r[1] and any(x.isalpha() for x in r[1])}
+    assert 45 in {r["doc_id"] for r in got} and not {40, 41, 42, 44, 48, 49, 50} & {r["doc_id"] for r in got}
+    assert laid_out(got, 4096) > 0 and texts[45]
+    between = spark.read.parquet(f"{tmp_path}/3")
+    assert between.columns == made(spark).columns and between.where("doc_id = 45").first()["size"] == 7
+
+
+def test_empty_table(spark, tmp_path):
+    assert stages(spark, empty(spark), tmp_path).count() == 0
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
