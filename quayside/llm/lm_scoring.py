@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from quayside.llm.common import stash
 
 TOKEN = re.compile(r"\w+")
-KNOWN = 65_536  #: most frequent words, whose counts the tasks have
-CLASSES, EACH, TAILS = 32, 128, 64  #: classes of frequent words, words in each, classes of all other words
+CLASSES, EACH, TAILS = 32, 128, 32  #: classes of frequent words, words in each, classes of all other words
+KNOWN = (1 << 16) - TAILS  #: most frequent words, whose counts the tasks have; a token's number fits in 16 bits
 OWN, OUT = CLASSES * EACH, CLASSES + TAILS
 ALONE = 64  #: words that the network sees as themselves; others it sees as their class
 EDGE = ALONE + OUT  #: what stands before and after a text
@@ -182,7 +182,7 @@ def own_log(z: np.ndarray, own: np.ndarray) -> np.ndarray:
 def away(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The gradient of minus that: the probabilities, less 1 in the own column."""
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], dtype=z.dtype))[:, None]
+    z *= (1 / (z @ np.ones(z.shape[1], dtype=z.dtype)))[:, None]
     z[np.arange(len(own)), own] -= 1
     return z
 
@@ -221,43 +221,41 @@ def words_of(counts: DataFrame) -> Words:
 
 
 def encoded(docs: DataFrame, words: Words) -> DataFrame:
-    """(doc_id, place, ids, rare): place is a hash of the row; ids are the numbers of its tokens; rare the words that are
-    not known."""
+    """(doc_id, place, n, ids, rare): place is a hash of the row; ids are the numbers of its n tokens, of 16 bits each; rare
+    the words that are not known."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("place"), "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = len(words.known)
         for b in batches:
-            every, ends, rare, cuts = [], [0], [], [0]
+            lists, rare, cuts = [], [], [0]
             for t in b.column("text").to_pylist():
                 found = tokens(t)
-                ids = np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found))
+                ids = np.fromiter(map(words.__getitem__, found), dtype="<u2", count=len(found))
                 rare += [found[i] for i in np.flatnonzero(ids >= known)]
-                every.append(ids)
-                ends.append(ends[-1] + len(ids))
+                lists.append(ids)
                 cuts.append(len(rare))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every) if every else [], pa.int32()))
             texts = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare, pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), ids, texts], names=["doc_id", "place", "ids", "rare"])
+            cols = [b.column("doc_id"), b.column("place"), pa.array(map(len, lists), pa.int64()), pa.array([x.tobytes() for x in lists], pa.binary()), texts]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "place", "n", "ids", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stash(rows.mapInArrow(encode, f"doc_id {kind}, place bigint, ids array<int>, rare array<string>"))
+    return stash(rows.mapInArrow(encode, f"doc_id {kind}, place bigint, n bigint, ids binary, rare array<string>"))
 
 
 def lists_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a batch, and where each row's end."""
-    ids = b.column("ids")
-    offsets = ids.offsets.to_numpy()
-    return ids.values.to_numpy()[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+    lists = [np.frombuffer(x, dtype="<u2") for x in b.column("ids").to_pylist()]
+    return (np.concatenate(lists) if lists else np.empty(0, dtype=np.uint16)), np.cumsum([len(x) for x in lists], dtype=np.int64)
 
 
 def train(rows: DataFrame, words: Words, *, rounds: int = 2, batch: int = 8192, shard: int = SHARD, chunk: int = 262_144) -> Network:
     """Rounds of training copies of a network on a part of the shards each, and averaging them."""
     now = Network.first(words)
-    total = rows.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard))
     rounds = min(rounds, shards)
-    dealt = rows.where(F.size("ids") > 0).select(F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard"), "place", "ids")
+    dealt = rows.where("n > 0").select(F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard"), "place", "ids")
     for turn in range(rounds):
         start = now.flat()
 

@@ -72,14 +72,14 @@ def test_trains_on_every_token(spark):
     df = docs(spark, list(enumerate(texts)))
     words = words_of(Counter(w for t in texts for w in t.split()))
     coded = lm.encoded(df, words)
-    placed = [r["ids"] for r in sorted(coded.collect(), key=lambda r: r["place"])]
+    placed = [np.frombuffer(r["ids"], dtype="<u2") for r in sorted(coded.collect(), key=lambda r: r["place"])]
     want = lm.Network.first(words)
     assert want.learn(lm.seen_from(words, np.concatenate(placed), np.cumsum([len(x) for x in placed])), 1024) == 20 * 80
     assert lm.train(coded, words, batch=1024).flat() == pytest.approx(want.flat(), abs=1e-5)
     parts = {r["place"]: r["s"] for r in coded.selectExpr("place", "pmod(xxhash64(place), 2) AS s").collect()}
     means, seen = 0, 0
     for s in (0, 1):
-        own = [r["ids"] for r in sorted(coded.collect(), key=lambda r: r["place"]) if parts[r["place"]] == s]
+        own = [np.frombuffer(r["ids"], dtype="<u2") for r in sorted(coded.collect(), key=lambda r: r["place"]) if parts[r["place"]] == s]
         net = lm.Network.first(words)
         n = net.learn(lm.seen_from(words, np.concatenate(own), np.cumsum([len(x) for x in own])), 1024)
         means, seen = means + n * net.flat(), seen + n
