@@ -282,7 +282,7 @@ def i16_page_cache(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f""", h AS (SELECT file_path, max(last_accessed) AS last_accessed, count(DISTINCT peer_id) AS holders, max(seq) AS s FROM replicas WHERE storage_tier <> 'cloud' GROUP BY file_path), d AS (SELECT *, greatest(0, 30 - holders) AS deficit FROM h),
 s AS (SELECT *, coalesce(sum(deficit) OVER w, 0) AS spent, row_number() OVER (ORDER BY last_accessed DESC, file_path) AS place FROM d WHERE deficit > 0 WINDOW w AS (ORDER BY last_accessed DESC, file_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-p AS (SELECT * FROM s WHERE spent < 90) SELECT file_path, CAST(least(deficit, 90 - spent) AS BIGINT) AS copies FROM p WHERE place < coalesce((SELECT min(place) FROM p WHERE s % 4 = 3), 1000000)""",
+p AS (SELECT * FROM s WHERE spent < 90) SELECT file_path, CAST(least(deficit, 90 - spent) AS BIGINT) AS copies FROM p WHERE place < coalesce((SELECT min(place) FROM p WHERE s % 7 = 3), 1000000)""",
     "replicas",
 )
 def w9_reconciled_until_busy(spark: SparkSession, sf: str) -> DataFrame:
@@ -292,7 +292,7 @@ def w9_reconciled_until_busy(spark: SparkSession, sf: str) -> DataFrame:
     t = K.holders(logical(spark, sf, "replicas")).groupBy("file_path").agg(F.max("last_accessed").alias("last_accessed"), F.countDistinct("peer_id").alias("holders"), F.max("seq").alias("s"))
     plan = O.reconcile(t.withColumn("deficit", F.greatest(F.lit(0).cast("bigint"), 30 - c("holders"))), 90)
     placed = plan.withColumn("place", F.row_number().over(Window.orderBy(c("last_accessed").desc(), "file_path")))  # a run's budget of rows
-    return J.until_busy(placed.withColumn("outcome", F.when(c("s") % 4 == 3, "busy").otherwise("ok"))).select("file_path", "copies")
+    return J.until_busy(placed.withColumn("outcome", F.when(c("s") % 7 == 3, "busy").otherwise("ok"))).select("file_path", "copies")
 
 
 @query(
@@ -423,8 +423,8 @@ def j12_persist_retries(spark: SparkSession, sf: str) -> DataFrame:
     return J.persist_outcomes(t.select("path", n.alias("attempt"), (c("outcome") == "ok").alias("ok")))
 
 
-@query(f"SELECT seq, path FROM remote_reads WHERE {_OWNER.format('path')} NOT IN (SELECT DISTINCT {_OWNER.format('file_path')} FROM replicas WHERE last_accessed >= TIMESTAMP '{FILES_NOW}' - to_days({HOT_DAYS + 900}))", "remote_reads", "replicas")
+@query(f"SELECT seq, path FROM remote_reads WHERE {_OWNER.format('path')} NOT IN (SELECT {_OWNER.format('file_path')} FROM replicas WHERE storage_tier = 'nvme' AND seq % 50 = 31)", "remote_reads", "replicas")
 def j13_invalidated(spark: SparkSession, sf: str) -> DataFrame:
-    """Cached ranges that stay when all files accessed of late are changed."""
-    changed = logical(spark, sf, "replicas").where(c("last_accessed") >= at(FILES_NOW) - F.make_dt_interval(days=F.lit(HOT_DAYS + 900))).select(c("file_path").alias("path"))
+    """Cached ranges that stay when files change, chunks by their files."""
+    changed = logical(spark, sf, "replicas").where("storage_tier = 'nvme' AND seq % 50 = 31").select(c("file_path").alias("path"))
     return J.invalidated(logical(spark, sf, "remote_reads").select("seq", "path"), changed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,15 +115,40 @@ def is_internal_name(path):  # noqa: ANN001, ANN201
     return base.endswith(".tmp") | base.startswith(".") | F.contains(base, F.lit(".tmp."))
 
 
-def rehydrate(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
-    """Cache entries of files found on disk that are not known, last accessed when they were written. Only names and
-    sizes are read."""
-    t = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+def found_entries(listing: DataFrame, known: DataFrame) -> DataFrame:
+    """Cache entries of a listing (path, length, modificationTime) that are not known, last accessed when they were
+    written; the cache's own files are skipped."""
     rel = F.regexp_extract(c("path"), r"^(?:[a-z0-9]+:)?(?://)?(.*)$", 1)
-    t = t.select(rel.alias("file_path"), c("length").alias("size"), c("modificationTime").alias("last_accessed"), F.lit("nvme").alias("tier"))
+    t = listing.select(rel.alias("file_path"), c("length").alias("size"), c("modificationTime").alias("last_accessed"), F.lit("nvme").alias("tier"))
     return t.where(~is_internal_name(c("file_path"))).join(known.select("file_path"), "file_path", "left_anti")
 
 
+def rehydrate(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """A3: found_entries of a folder. Only names and sizes are read."""
+    t = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    return found_entries(t, known)
+
+
+class StagedWrite:
+    """A2: objects written beside their place and moved there as a whole, or dropped; readers never see a part."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path, self.staged = path, f"{path}.staged-{uuid.uuid4().hex}"
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def write(self, objects: DataFrame) -> None:
+        objects.write.mode("append").parquet(self.staged)
+
+    def commit(self) -> None:
+        self._fs.delete(self._at(self.path), True)
+        if not self._fs.rename(self._at(self.staged), self._at(self.path)):
+            raise OSError(f"{self.staged} can't be moved to {self.path}")
+
+    def abort(self) -> None:
+        self._fs.delete(self._at(self.staged), True)
+
+
 def write_objects(objects: DataFrame, path: str) -> None:
     """Objects (path, data) as Parquet, by Spark's commit protocol: all or nothing."""
     objects.write.mode("overwrite").parquet(path)
