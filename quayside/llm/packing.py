@@ -12,6 +12,7 @@ one by one; a null doc_id stays null; only documents longer than the capacity ar
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -36,7 +37,10 @@ class WordIds(dict):
     those with a special token, go to the tokenizer as they are.
     """
 
-    #: The tokenizer's pattern for words, with its classes of characters written out for Latin-1.
+    #: The rules of the tokenizers whose words are cut here; texts for any other go to the tokenizer as they are.
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: That pattern for words, with its classes of characters written out for Latin-1.
     SPACE, LETTER, DIGIT = r"\t\n\x0b\x0c\r \x85\xa0", r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
     WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
 
@@ -45,10 +49,19 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.before = Tokenizer.from_file(path), {}
+        self.cuts = self.known_rules(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
+    @classmethod
+    def known_rules(cls, file: dict) -> bool:
+        """Whether a tokenizer lower-cases, cuts and marks words as this class does."""
+        before = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        split = before[0].get("pattern") == {"Regex": cls.PATTERN} and (before[0].get("behavior"), before[0].get("invert")) == ("Removed", True)
+        ends = file["model"].get("type") == "BPE" and file["model"].get("end_of_word_suffix") == "</w>" and not file["model"].get("dropout")
+        return split and ends and [x.get("type") for x in before[1:]] == ["ByteLevel"] and (file.get("normalizer") or {}).get("normalizers") == cls.NORMALIZERS and not file.get("truncation")
+
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
@@ -72,7 +85,7 @@ class WordIds(dict):
                 self[w] = self.encode(w).tobytes()
 
     def words(self, text: str) -> list[str] | None:
-        if "<|" in text:
+        if not self.cuts or "<|" in text:
             return None
         try:
             text.encode("latin-1")

@@ -97,3 +97,16 @@ def test_exact_complements_fill_all():
     assert (at["sequence"] + at["count"]).max() == 10  # a pair fills each
     at = packing.plan({40: 7, 30: 7, 20: 7, 10: 7}, 100)
     assert (at["sequence"] + at["count"]).max() == 7  # a triple does
+
+
+def test_any_tokenizer_gives_its_own_ids():
+    """Of a tokenizer with other rules the texts go to it as they are."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["The Don't  stop\n\nNOW 123", "", "ÀÉ naïve 日本 x1y", "tabs\t\tand  spaces "]
+    for name, cuts in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        words, plain = packing.WordIds(path), Tokenizer.from_file(path)
+        assert words.cuts == cuts
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
