@@ -31,7 +31,7 @@ _CHUNK = r"(?s)^(.+)_chunk_([+-]?[0-9]{1,19})$"
 
 def chunk_index(path: Column) -> Column:
     """H3: the number after the last _chunk_, null where there is none, nothing stands before it or it leaves int64."""
-    return F.regexp_extract(path, _CHUNK, 2).try_cast("bigint")
+    return F.when(F.contains(path, F.lit("_chunk_")), F.regexp_extract(path, _CHUNK, 2).try_cast("bigint"))  # most paths have no mark
 
 
 def parent_path(path: Column) -> Column:

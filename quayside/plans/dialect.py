@@ -41,7 +41,7 @@ class Spark:
     @staticmethod
     def last_rows(rows: str, n: str, part: str) -> str:
         """By numbers alone, in buffers of fixed width, so that rows are summed before the shuffle."""
-        return f"""(SELECT last div 10 AS l_orderkey, l_partkey, l_suppkey, CAST(last % 10 AS INT) AS l_linenumber, l_shipdate, first_seq
+        return f"""(SELECT last div 10 AS l_orderkey, l_partkey, l_suppkey, CAST(last % 10 AS INT) AS l_linenumber, l_shipdate, first_seq, part, tier
   FROM (SELECT l_partkey, l_suppkey, {part} AS part, l_linenumber % 3 AS tier, min({n}) AS first_seq, max({n}) AS last, max_by(l_shipdate, {n}) AS l_shipdate FROM {rows} GROUP BY ALL) g) v"""
 
 
@@ -83,5 +83,5 @@ class Duck:
     @staticmethod
     def last_rows(rows: str, n: str, part: str) -> str:
         w = f"PARTITION BY l_partkey, {part}, l_suppkey, l_linenumber % 3"
-        return f"""(SELECT * FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, min({n}) OVER ({w}) AS first_seq,
+        return f"""(SELECT * FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, {part} AS part, l_linenumber % 3 AS tier, min({n}) OVER ({w}) AS first_seq,
   row_number() OVER ({w} ORDER BY {n} DESC, l_shipdate DESC, l_linenumber DESC) AS rn FROM {rows}) u WHERE rn = 1) v"""

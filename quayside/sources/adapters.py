@@ -30,14 +30,17 @@ SELECT id, 'host-' || right(id, 5) || ':8081' AS address, 'host-' || right(id, 5
 FROM (SELECT 'peer-' || lpad(CAST(s_suppkey AS {d.text}), 5, '0') AS id, s_suppkey AS k, s_nationkey AS n FROM {d.table("supplier")}) s"""
 
 
-def _located(d, rows: str, seq: str) -> str:
-    """Replica rows from rows of lineitem (with a column seq if that is the name)."""
+_PART = "CASE WHEN (l_orderkey + l_linenumber) % 10 = 0 THEN l_linenumber ELSE -1 END"
+
+
+def _located(d, rows: str, seq: str, part: str = _PART, tier: str = "l_linenumber % 3") -> str:
+    """Replica rows from rows of lineitem; seq, part and tier are columns or made of them."""
     return f"""
 SELECT *, file_size > {CHUNK} AS is_chunked, {d.chunk_list("CASE WHEN file_size > " + str(CHUNK) + " THEN l_linenumber % 4 ELSE 0 END")} AS chunks
 FROM (SELECT '/models/m' || CAST(l_partkey % 40 AS {d.text}) || '/f' || CAST(l_partkey AS {d.text}) || '.bin'
-    || CASE WHEN (l_orderkey + l_linenumber) % 10 = 0 THEN '_chunk_' || CAST(l_linenumber AS {d.text}) ELSE '' END AS file_path,
+    || CASE WHEN {part} >= 0 THEN '_chunk_' || CAST({part} AS {d.text}) ELSE '' END AS file_path,
   'peer-' || lpad(CAST(l_suppkey AS {d.text}), 5, '0') AS peer_id,
-  CASE l_linenumber % 3 WHEN 0 THEN 'cloud' WHEN 1 THEN 'nvme' ELSE 'peer' END AS storage_tier,
+  CASE {tier} WHEN 0 THEN 'cloud' WHEN 1 THEN 'nvme' ELSE 'peer' END AS storage_tier,
   '/mnt/' || CAST(l_partkey AS {d.text}) AS storage_path,
   CAST(CASE WHEN l_partkey % 50 = 7 THEN 0 ELSE ((l_partkey * 7919) % 1000) * 131072 + l_linenumber END AS BIGINT) AS file_size,
   l_shipdate AS last_accessed, CAST(CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE {CHUNK} END AS BIGINT) AS chunk_size,
@@ -53,8 +56,7 @@ def replicas(d) -> str:
     """The catalog after all upserts: per (path, peer, tier) the last row, at the place of the first. Rows are grouped by the
     numbers that paths, peers and tiers are made of; only those that stay get their texts."""
     n = "l_orderkey * 10 + l_linenumber"
-    part = "CASE WHEN (l_orderkey + l_linenumber) % 10 = 0 THEN l_linenumber ELSE -1 END"
-    return _located(d, d.last_rows(d.table("lineitem"), n, part), "first_seq")
+    return _located(d, d.last_rows(d.table("lineitem"), n, _PART), "first_seq", "part", "tier")
 
 
 def read_events(d) -> str:
