@@ -79,8 +79,11 @@ def learn(labelled: DataFrame, *, top: int = TOP, sample: int = SAMPLE, seed: in
     """Profiles from (doc_id, text, lang). The driver gets the languages' row counts and top n-grams of each language."""
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    if (n := sizes.count()) > LANGUAGES:
+        raise ValueError(f"{n} languages, more than {LANGUAGES}")
     part = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = rows.join(sizes, "lang").where(part < F.lit(float(sample)) / F.col("n")).select("lang", "text").distinct()
+    # a row a language, of a checked number; no text is sent to them
+    few = rows.join(F.broadcast(sizes), "lang").where(part < F.lit(float(sample)) / F.col("n")).select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,8 +96,6 @@ def learn(labelled: DataFrame, *, top: int = TOP, sample: int = SAMPLE, seed: in
 
     sums = few.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    if (n := sizes.count()) > LANGUAGES:
-        raise ValueError(f"{n} languages, more than {LANGUAGES}")
     ranked: dict[str, list[int]] = {}
     for r in sums.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).orderBy("lang", "r").select("lang", "gram").collect():
         ranked.setdefault(r["lang"], []).append(r["gram"])
