@@ -38,6 +38,16 @@ def test_no_cross_joins_of_paths_and_peers(spark, sf, name):
     assert "CartesianProduct" not in p
 
 
+@pytest.mark.parametrize("name", ["j14_seed_plan", "j14_seed_plan_of_all_paths"])
+def test_listed_targets_are_not_shuffled(spark, sf, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(QUERIES[name](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hash" not in p[: p.index("Generate explode")] and "SortMergeJoin" not in p[: p.index("Generate explode")] and p.count("lineitem.parquet") == 1
+
+
 def test_metric_lines_are_cut_once(spark, sf):
     p = plan(QUERIES["a18_parse_metrics"](spark, sf))
     assert p.count("Generate explode") >= 2 and p.count("regexp_replace(") <= 6
