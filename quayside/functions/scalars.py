@@ -268,12 +268,23 @@ def heat_target(base: Column, readers: Column, per: int = 2, most: int = 8) -> C
     return F.when(base >= most, base).otherwise(F.least(base + idiv(readers, per), F.lit(most).cast("bigint")))
 
 
+def tenths(x: Column) -> Column:
+    """x, 0 or more, in whole tenths, exact ties to the even one, as C and Python print them; Spark's formats take ties up. The
+    fraction is cut in two, so that ten times each part is exact."""
+    r = x - F.floor(x)
+    high = F.floor(r * float(1 << 26)) / float(1 << 26)
+    whole = F.floor(high * 10)
+    rest = (high * 10 - whole) + (r - high) * 10
+    return F.floor(x) * 10 + whole + F.when(rest == 0.5, whole % 2).otherwise(F.rint(rest).cast("bigint"))
+
+
 def human_bytes(n: Column) -> Column:
     """H17."""
     value, out = n.cast("double"), None
+    sign = F.when(value < 0, "-").otherwise("")
     for power, unit in enumerate(("B", "KiB", "MiB", "GiB", "TiB", "PiB")):
-        x = value / float(1024**power)
-        text = F.format_string("%.0f B", x) if power == 0 else F.format_string(f"%.1f {unit}", x)
+        t = tenths(F.abs(value) / float(1024**power))
+        text = F.format_string("%.0f B", F.rint(value)) if power == 0 else F.format_string(f"%s%d.%d {unit}", sign, idiv(t, 10), t % 10)
         fits = F.abs(value) < float(1024 ** (power + 1))
         out = F.when(fits, text) if out is None else (out.when(fits, text) if unit != "PiB" else out.otherwise(text))
     return out

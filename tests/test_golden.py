@@ -193,3 +193,19 @@ def test_plans(spark, sf):
     assert "BroadcastNestedLoop" not in plan(QUERIES["k3_read_ranges"](spark, sf)) and "Cartesian" not in plan(QUERIES["k3_read_ranges"](spark, sf))
     spark.createDataFrame([("/a/b",), ("/c",)], "file_path string").write.mode("overwrite").parquet("/tmp/quayside-plan-test")
     assert "StringStartsWith(file_path,/a)" in plan(K.under_prefix(spark.read.parquet("/tmp/quayside-plan-test"), "/a"))
+
+
+def test_human_bytes_round_as_python(spark):
+    """Exact ties go to the even tenth."""
+    import random
+
+    rng, units = random.Random(7), ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
+
+    def human(n):
+        x, unit = next((abs(n) / 1024**p, u) for p, u in enumerate(units) if abs(n) < 1024 ** (p + 1) or u == "PiB")
+        return ("-" if n < 0 else "") + (f"{x:.0f} {unit}" if unit == "B" else f"{x:.1f} {unit}")
+
+    ns = [57600, 1280, 1792, -1280, 0, 1023, 1024, 1048575, 2**50 * 5 // 4, round(1.15 * 2**50), round(1.35 * 2**50)] + [rng.randrange(-(2 ** rng.randint(1, 60)), 2 ** rng.randint(1, 60)) for _ in range(3000)]
+    ns += [k * 256 * 1024**p for k in range(300) for p in range(4)]
+    got = {r["n"]: r["h"] for r in spark.createDataFrame([(n,) for n in ns], "n bigint").select("n", S.human_bytes(c("n")).alias("h")).collect()}
+    assert got[57600] == "56.2 KiB" and {n: h for n, h in got.items() if h != human(n)} == {}
