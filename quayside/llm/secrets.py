@@ -20,6 +20,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -51,7 +52,6 @@ HINT = re.compile(r"pass|pwd|secret|token|key|cred|bearer|auth|signature|connect
 #: Values that stand for another one; only if that is all they hold.
 PLACEHOLDER = re.compile(r"(?:\$\{.*\}|\$\(.*\)|\$\w+|%\w+%|<[^<>]*>|\{\{.*\}\}|(?:your|my|enter|insert|change|replace)[_-][\w-]*|(?:example|changeme|placeholder|dummy|redacted|sample|password|secret|token|true|false|none|null)[_-]?\d*|(.)\1*|[xX*.-]+)", re.I | re.S)
 LEAST_SCORE = 0.5
-LONGEST_WORD = 1024  #: a longer word without quotes does not look like a secret
 
 
 def sensitivity(name: str) -> float:
@@ -70,6 +70,26 @@ def likeness(literal: str, quoted: bool) -> float:
     return min(1.0, 0.25 * kinds + 0.5 * variety)
 
 
+class Tails:
+    """likeness of the ends of one word without quotes: where each of its characters stands last is looked up once, so many
+    ends of a long word cost no more than the word. PLACEHOLDER can't pass the = or : that stands between two such ends."""
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.start, self.end = text, start, end
+        last = {text[i]: i for i in range(start, end)}
+        self.last = sorted(last.values())
+        where = lambda ok: max((i for x, i in last.items() if ok(x)), default=-1)
+        lower, upper, digit = (where(lambda x, a=a, b=b: a <= x <= b) for a, b in ("az", "AZ", "09"))
+        self.kinds = (lower, upper, digit, where(lambda x: not (x.isascii() and x.isalnum())))
+        self.mixed = min(digit, max(lower, upper))  #: from there on, digit or letter lacks
+
+    def likeness(self, at: int) -> float:
+        if self.end - at < 8 or at > self.mixed or PLACEHOLDER.fullmatch(self.text, at, self.end):
+            return 0.0
+        variety = (len(self.last) - bisect_left(self.last, at)) / min(self.end - at, 16)
+        return min(1.0, 0.25 * sum(at <= i for i in self.kinds) + 0.5 * variety)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end)"""
     found = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -189,7 +209,7 @@ class Assignments:
         rest = NEXT_LINE.match(self.text, after)
         if rest[1]:
             line = self.text.rfind("\n", 0, after) + 1
-            deep = lambda at: len(self.text[at : at + 200]) - len(self.text[at : at + 200].lstrip(" \t"))
+            deep = lambda at: SPACES.match(self.text, at).end() - at
             if deep(rest.end()) <= deep(line):
                 return []
             i += self.kind(i) == "end"
@@ -279,12 +299,22 @@ class Assignments:
 def named_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not HINT.search(text.lower()):
         return []
-    best: dict[tuple[int, int], float] = {}
+    most: dict[tuple[int, int, bool], float] = {}
     for start, end, quoted, s in Assignments(text).literals():
-        if quoted or end - start <= LONGEST_WORD:
-            best[start, end] = max(s * likeness(text[start:end], quoted), best.get((start, end), 0.0))
-    taken = [(a, b) for a, _, b in base]
-    return [(a, 3, b) for (a, b), score in best.items() if score >= LEAST_SCORE and not any(a < y and x < b for x, y in taken)]
+        most[start, end, quoted] = max(s, most.get((start, end, quoted), 0.0))
+    best: dict[tuple[int, int], float] = {}
+    tails = None
+    for (start, end, quoted), s in sorted(most.items()):
+        if quoted:
+            like = likeness(text[start:end], True)
+        else:
+            if tails is None or tails.end != end or start < tails.start:
+                tails = Tails(text, start, end)
+            like = tails.likeness(start)
+        best[start, end] = max(s * like, best.get((start, end), 0.0))
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    touched = lambda a, b: (i := bisect_left(starts, b)) > 0 and reach[i - 1] > a
+    return [(a, 3, b) for (a, b), score in best.items() if score >= LEAST_SCORE and not touched(a, b)]
 
 
 def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

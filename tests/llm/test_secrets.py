@@ -66,6 +66,22 @@ def test_long_elements():
     assert found(f"<pwd>{long}</pwd>") == [long] and found(f"<pwd>{long}<b></pwd>") == []
 
 
+def test_long_words_and_deep_lines():
+    long = "aB3!" * 3000
+    assert found(f"pwd={long}") == [long] and found(f"pwd={'my-' + 'a1' * 3000}") == []
+    deep = " " * 300
+    assert found(f"{deep}pwd:\n{deep}  {SECRET}\n") == [SECRET] and found(f"{deep}  pwd:\n{deep}{SECRET}\n") == []
+
+
+def test_ends_of_words_score_as_words():
+    rng = random.Random(3)
+    bits = ["a", "B", "3", "!", "é", "my-", "$x", "%a%", "x", "=", "..", "token"]
+    for _ in range(2000):
+        word = "".join(rng.choice(bits) for _ in range(rng.randint(1, 20)))
+        tails = secrets.Tails(f" {word} ", 1, 1 + len(word))
+        assert [tails.likeness(1 + i) for i in range(len(word))] == [secrets.likeness(word[i:], False) for i in range(len(word))], word
+
+
 def test_lexer_joins_and_placeholders():
     assert found('pwd = "hunter2!" +\n  "Rain7abcd"') == found('pwd = ("hunter2!"\n   "Rain7abcd")') == ["hunter2!", "Rain7abcd"]
     assert found('pwd = "example9!Zq77"') == ["example9!Zq77"]
