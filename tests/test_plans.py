@@ -48,6 +48,20 @@ def test_listed_targets_are_not_shuffled(spark, sf, name):
     assert "Exchange hash" not in p[: p.index("Generate explode")] and "SortMergeJoin" not in p[: p.index("Generate explode")] and p.count("lineitem.parquet") == 1
 
 
+def test_rows_without_a_parent_are_not_gathered(spark, sf):
+    """4000 files and 40 chunks over 4 tasks: none gets most of the rows."""
+    rows = [(f"/f{i}", i, "nvme", i % 2 == 0) for i in range(4000)] + [(f"/f{i}_chunk_0", i, "peer", False) for i in range(40)]
+    out = K.without_cached_parents(spark.createDataFrame(rows, "file_path string, size int, tier string, is_chunked boolean").repartition(4))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tasks = [r["task"] for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < 2000
+    assert sorted(r["file_path"] for r in got) == sorted([r[0] for r in rows[:4000]] + [f"/f{i}_chunk_0" for i in range(1, 40, 2)])
+
+
 def test_metric_lines_are_cut_once(spark, sf):
     p = plan(QUERIES["a18_parse_metrics"](spark, sf))
     assert p.count("Generate explode") >= 2 and p.count("regexp_replace(") <= 6
