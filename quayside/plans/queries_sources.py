@@ -107,7 +107,7 @@ def a13_rows_with_bad_ones(spark: SparkSession, sf: str) -> DataFrame:
 def a14_state_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """The coordinator's state saved and restored."""
     base = folder(spark)
-    N.write_state(logical(spark, sf, "peers").drop("last_heartbeat", "pool", "zone"), logical(spark, sf, "replicas").drop("last_accessed", "l_linenumber"), base)
+    N.write_state(logical(spark, sf, "peers").drop("last_heartbeat", "pool", "zone"), logical(spark, sf, "replicas").drop("last_accessed", "l_linenumber"), base, "gzip")
     peers, files, _ = N.read_state(spark, base)
     rows = files.select(F.lit("file").alias("kind"), F.concat_ws("|", "file_path", "peer_id", "storage_tier").alias("id"), c("file_size").alias("n"))
     return rows.union(peers.select(F.lit("peer").alias("kind"), F.concat_ws("|", "id", c("labels")["pool"], c("labels")["zone"]).alias("id"), c("used_space").alias("n")))

@@ -13,10 +13,11 @@ from quayside.functions import scalars as S
 c = F.col
 
 
-def write_state(peers: DataFrame, replicas: DataFrame, path: str) -> None:
-    """Peers and replicas as JSON rows of two folders, replaced as a whole."""
-    peers.write.mode("overwrite").json(f"{path}/peers")
-    replicas.write.mode("overwrite").json(f"{path}/files")
+def write_state(peers: DataFrame, replicas: DataFrame, path: str, compression: str = "none") -> None:
+    """Peers and replicas as JSON rows of two folders, replaced as a whole. Plain text of replicas is large;
+    reading knows the compression by the names of files."""
+    peers.write.mode("overwrite").json(f"{path}/peers", compression=compression)
+    replicas.write.mode("overwrite").json(f"{path}/files", compression=compression)
 
 
 def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -23,6 +23,17 @@ def test_state_round_trip(spark, sf, tmp_path):
     assert r.select(*cols).exceptAll(files.select(*cols)).isEmpty()
 
 
+def test_saved_state_is_small(spark, sf, tmp_path, monkeypatch):
+    """The query's JSON takes less than a fifth of its plain text."""
+    from quayside.plans import queries_sources as Q
+
+    monkeypatch.setattr(Q, "folder", lambda _: str(tmp_path / "q"))
+    Q.QUERIES["a14_state_round_trip"](spark, sf)
+    N.write_state(logical(spark, sf, "peers").drop("last_heartbeat", "pool", "zone"), logical(spark, sf, "replicas").drop("last_accessed", "l_linenumber"), str(tmp_path / "p"))
+    size = lambda x: sum(f.stat().st_size for f in (tmp_path / x / "files").glob("part*"))
+    assert 0 < size("q") * 5 < size("p")
+
+
 def test_nested_state(spark, tmp_path):
     doc = {"peers": {"a": {"id": "a", "status": "active", "labels": {"x": "y"}}}, "files": {"/f": [{"peer_id": "a", "storage_tier": "nvme", "file_size": 5, "is_chunked": False}, {"peer_id": "b", "storage_tier": "peer", "file_size": 6}]}}
     (tmp_path / "s.json").write_text(json.dumps(doc, indent=1))
