@@ -64,13 +64,6 @@ def refer(state: State, e: dict) -> tuple[State, dict]:
     return (n,), {"seq": e["seq"], "refs": n, "warm": e["op"] == "create" and n == 1}
 
 
-def beat(state: State, e: dict) -> tuple[State, dict]:
-    """State (speed, latency); a probe only overwrites where it is positive."""
-    speed = e["network_speed_mbps"] if e["network_speed_mbps"] > 0 else state[0]
-    latency = e["network_latency_ms"] if e["network_latency_ms"] > 0 else state[1]
-    return (speed, latency), {"seq": e["seq"], "status": e["status"], "network_speed_mbps": speed, "network_latency_ms": latency}
-
-
 def fold_sorted(events: DataFrame, keys: list[str], order: list[str], fold: Fold, first: State, out_type: str) -> DataFrame:
     """The rows that a fold gives out for each key's events in order. Keys are brought together and sorted by Spark, and pass
     by one row at a time, so a hot key needs no memory."""

@@ -78,6 +78,20 @@ def test_range_sums_by_brute_force(spark):
     assert {(r["at"], r["id"]): r["__before"] for r in got.collect()} == want
 
 
+def test_peers_are_kept_without_python(spark, tmp_path):
+    """Probes of earlier batches stay where later ones are not positive; a row a peer and batch."""
+    kind = "peer_id string, ts timestamp_ntz, ts_us bigint, seq bigint, status string, network_speed_mbps double, network_latency_ms double"
+    (tmp_path / "in").mkdir()
+    stream, seen = state.peer_stream(spark.readStream.schema(kind).parquet(f"{tmp_path}/in")), []
+    assert "InPandas" not in stream._jdf.queryExecution().logical().toString()
+    for rows in ([("a", 1, "active", 5.0, 7.0), ("a", 2, "active", 0.0, 8.0), ("b", 3, "active", 0.0, 0.0)], [("a", 4, "inactive", 0.0, 0.0)]):
+        t = spark.createDataFrame(rows, "peer_id string, seq bigint, status string, network_speed_mbps double, network_latency_ms double")
+        t.select("peer_id", F.expr("TIMESTAMP_NTZ '2024-01-01'").alias("ts"), F.lit(0).cast("bigint").alias("ts_us"), "seq", *t.columns[2:]).write.mode("append").parquet(f"{tmp_path}/in")
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda b, _: seen.append(sorted(tuple(r) for r in b.collect()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert seen == [[("a", 2, "active", 5.0, 8.0), ("b", 3, "active", 0.0, 0.0)], [("a", 4, "inactive", 5.0, 8.0)]]
+
+
 def test_a_batch_rewrites_touched_buckets_only(spark, tmp_path):
     kind = "file_path string, peer_id string, storage_tier string, file_size bigint, seq bigint"
     first = spark.createDataFrame([(f"/f{i}", "p", "nvme", i, i) for i in range(400)], kind)
