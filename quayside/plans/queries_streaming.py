@@ -185,7 +185,7 @@ SELECT begins, path, count(*) AS readers FROM w WHERE begins + INTERVAL 1 DAY <=
 def i4_reader_windows(spark: SparkSession, sf: str) -> DataFrame:
     """I4: a day's distinct readers every six hours, closed windows only."""
     base = folder(spark)
-    return run(state.reader_windows(as_stream(spark, logical(spark, sf, "remote_reads"), base), "1 day", "6 hours"), base)
+    return run(state.reader_windows(as_stream(spark, logical(spark, sf, "remote_reads").select("ts", "path", "reader"), base), "1 day", "6 hours"), base)
 
 
 @query(
