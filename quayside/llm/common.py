@@ -43,8 +43,9 @@ def _drop_stash() -> None:
             pass
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder as Parquet and reads it again. Survives lost executors."""
+def stash(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+    """Cuts the lineage: writes df to the shared folder as Parquet and reads it again. Survives lost executors. options: the
+    writer's."""
     spark = df.sparkSession
     key = id(spark.sparkContext)
     if key not in _stashed:
@@ -52,7 +53,7 @@ def stash(df: DataFrame) -> DataFrame:
             atexit.register(_drop_stash)
         _stashed[key] = (spark, f"{shared_dir(spark)}/quayside-{uuid.uuid4().hex}")
     path = f"{_stashed[key][1]}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -146,3 +146,62 @@ def test_edges(spark):
     assert all((by[i]["n_tokens"], by[i]["pll"], by[i]["mean_pll"]) == (0, 0.0, None) for i in (40, 41, 42, 44)) and by[48]["n_tokens"] == 1
     assert lm.score_corpus(empty(spark)).count() == 0
     assert lm.score_corpus(docs(spark, [(1, None)])).collect()[0]["n_tokens"] == 0
+
+
+def test_texts_are_read_and_cut_once(spark):
+    """Counts and numbers come from one pass over the texts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = docs(spark, [(i, f"a b{i} c") for i in range(30)]).select("doc_id", "text")
+    assert lm.score_corpus(df.mapInArrow(look, df.schema)).count() == 30 and seen.value == 30
+
+
+def test_cut_finds_the_same_tokens():
+    """Those of the pattern over the lower-case text, for every character in the midst and at the ends of words."""
+    every = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(every[i : i + 97]) for i in range(0, len(every), 97)] + [f"Ab{c}Σ {c}" for c in every[:0x3000]]
+    texts += [None, "", " ", "\n", "a\nb", "İΣ ΑΣ. ΑΣΑ", "x" * 5000, "A_1\x00b", "été", "\U0001d400b ½①"]
+    found, n = lm.cut(texts)
+    assert found.to_pylist() == [w for t in texts for w in lm.tokens(t)] and n.tolist() == [len(lm.tokens(t)) for t in texts]
+    assert lm.cut([])[1].tolist() == [] and len(lm.cut([None, "--"])[0]) == 0
+
+
+def test_same_scores_for_any_pieces(spark, monkeypatch):
+    texts = ["one two Three", None, "four", "", "two " * 50, *[f"w{i} x y" for i in range(40)]]
+    df = docs(spark, [*enumerate(texts), (None, "one")]).repartition(1)
+    whole = {r["doc_id"]: r for r in lm.score_corpus(df).collect()}
+    monkeypatch.setattr(lm, "PIECE", 20)
+    got = {r["doc_id"]: r for r in lm.score_corpus(df).collect()}
+    assert lm.pieces(df).count() > 5 and got.keys() == whole.keys() and len(got) == len(texts) + 1
+    assert all(got[i]["n_tokens"] == whole[i]["n_tokens"] and got[i]["n_once"] == whole[i]["n_once"] and got[i]["pll"] == pytest.approx(whole[i]["pll"], rel=1e-5) for i in got)
+
+
+@pytest.mark.parametrize("scale", [0.5, 30])
+def test_layer(scale):
+    """Logits, sums and gradients as with plain sums, also where an exponential would leave the floats."""
+    rng = np.random.default_rng(3)
+    words = words_of({f"w{i}": 1 + i % 7 for i in range(5000)})
+    net = lm.Network.first(words)
+    for i in (2, 3, 4, 5):
+        net.w[i] += rng.normal(0, scale, net.w[i].shape).astype(np.float32)
+    h = np.tanh(rng.normal(0, 1, (3000, lm.WIDTH))).astype(np.float32)
+    out = np.sort(rng.integers(0, lm.OUT, 3000))
+    rows = np.zeros(3000)
+    for k, some, layer in net.layers(out):
+        w, c = (x.astype(np.float64) for x in ((net.w[2], net.w[3]) if k is None else (net.w[4][k], net.w[5][k])))
+        own = out[some] if k is None else out[some] * 0 + 5
+        z = h[some] @ w + c
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        _, at, sums = layer.exponentials(h[some], own)
+        assert at - np.log(sums) == pytest.approx(z[np.arange(len(own)), own] - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) - z.max(axis=1), abs=1e-3)
+        p[np.arange(len(own)), own] -= 1
+        for x, want in zip(layer.gradient(h[some], own), (h[some].T @ p, p.sum(axis=0), p @ w.T), strict=True):
+            assert x == pytest.approx(want, abs=2e-3 * max(1, scale))
+        rows[some] += 1
+    assert rows.tolist() == (1 + (out < lm.CLASSES)).tolist()
