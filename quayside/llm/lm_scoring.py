@@ -41,7 +41,7 @@ WORDLY = np.fromiter((chr(i).isalnum() or chr(i) == "_" for i in range(1 << 16))
 LOWER = bytes(range(256)).lower()
 OTHERS = bytes(i for i in range(128) if not WORDLY[i])
 INSIDE = bytes(i > 127 or bool(WORDLY[i]) for i in range(256))  #: which bytes are of words
-PIECE = 1 << 21  #: bytes of the texts of a piece, about
+PIECE = 1 << 20  #: bytes of the texts of a piece, about
 CLASSES, EACH, TAILS = 32, 128, 32  #: classes of frequent words, words in each, classes of all other words
 KNOWN = (1 << 16) - TAILS  #: most frequent words, whose counts the tasks have; a token's number fits in 16 bits
 OWN, OUT = CLASSES * EACH, CLASSES + TAILS
@@ -290,8 +290,9 @@ def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def pieces(docs: DataFrame) -> DataFrame:
     """(doc_id, place, n, ids, words, sizes, tally): documents of about PIECE bytes in a row, as lists of their ids, of
-    hashes of their rows and of their numbers of tokens; ids are the numbers of all their tokens, of 32 bits each, among
-    the piece's words, which lie one after another with their sizes in bytes and their counts."""
+    hashes of their rows and of their numbers of tokens; ids are the numbers of all their tokens among the piece's words, of
+    16 bits each where there are no more words than that, else of 32; the words lie one after another with their sizes in
+    bytes and their counts."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("place"), "text")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,17 +300,16 @@ def pieces(docs: DataFrame) -> DataFrame:
             sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
             for a, z in runs(sizes, PIECE):
                 found, n = cut(b.column("text").slice(a, z - a).to_pylist())
-                ids = found.indices.to_numpy().astype("<i4")
-                words = found.dictionary
+                ids, words = found.indices.to_numpy(), found.dictionary
                 ends = np.frombuffer(words.buffers()[1], dtype=np.int64, count=len(words) + 1) if len(words) else np.zeros(1, dtype=np.int64)
                 kept = words.buffers()[2].to_pybytes()[: ends[-1]] if len(words) else b""
-                blobs = [ids.tobytes(), kept, np.diff(ends).astype("<i4").tobytes(), np.bincount(ids, minlength=len(words)).astype("<i8").tobytes()]
+                blobs = [ids.astype("<u2" if len(words) <= 1 << 16 else "<i4").tobytes(), kept, np.diff(ends).astype("<i4").tobytes(), np.bincount(ids, minlength=len(words)).astype("<i4").tobytes()]
                 lists = [pa.ListArray.from_arrays(pa.array([0, z - a], pa.int32()), x) for x in (b.column("doc_id").slice(a, z - a), b.column("place").slice(a, z - a), pa.array(n, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*lists, *[pa.array([x], pa.binary()) for x in blobs]], names=["doc_id", "place", "n", "ids", "words", "sizes", "tally"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # rows are large: Parquet is to look at its buffers after each
-    return stash(rows.mapInArrow(cut_up, f"doc_id array<{kind}>, place array<bigint>, n array<bigint>, ids binary, words binary, sizes binary, tally binary"), {"parquet.page.size.row.check.min": "1"})
+    options = {"parquet.page.size.row.check.min": "1", "compression": "zstd"}  # rows are large: Parquet looks at its buffers after each
+    return stash(rows.mapInArrow(cut_up, f"doc_id array<{kind}>, place array<bigint>, n array<bigint>, ids binary, words binary, sizes binary, tally binary"), options)
 
 
 def words_in(b: pa.RecordBatch, row: int) -> pa.Array:
@@ -324,8 +324,8 @@ def tallied(cuts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                n = pa.Array.from_buffers(pa.int64(), len(b.column("tally")[row].as_buffer()) // 8, [None, b.column("tally")[row].as_buffer()])
-                yield pa.RecordBatch.from_arrays([words_in(b, row), n], names=["word", "n"])
+                n = np.frombuffer(b.column("tally")[row].as_buffer(), dtype="<i4")
+                yield pa.RecordBatch.from_arrays([words_in(b, row), pa.array(n, pa.int64())], names=["word", "n"])
 
     return stash(cuts.select("words", "sizes", "tally").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
 
@@ -353,7 +353,7 @@ def numbered(cuts: DataFrame, words: Words) -> DataFrame:
             for row in range(b.num_rows):
                 lists = [b.column(k)[row].values for k in ("doc_id", "place", "n")]
                 own = words_in(b, row)
-                at = np.frombuffer(b.column("ids")[row].as_buffer(), dtype="<i4")
+                at = np.frombuffer(b.column("ids")[row].as_buffer(), dtype="<u2" if len(own) <= 1 << 16 else "<i4")
                 ids = np.take(words.numbers(own, names), at)
                 unknown = np.flatnonzero(ids >= len(names))
                 ends = np.r_[0, np.cumsum(lists[2].to_numpy())]
@@ -362,7 +362,7 @@ def numbered(cuts: DataFrame, words: Words) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*lists, kept, rare], names=["doc_id", "place", "n", "ids", "rare"])
 
     kind = cuts.schema["doc_id"].dataType.elementType.simpleString()
-    return stash(cuts.mapInArrow(number, f"doc_id {kind}, place bigint, n bigint, ids binary, rare array<string>"))
+    return stash(cuts.mapInArrow(number, f"doc_id {kind}, place bigint, n bigint, ids binary, rare array<string>"), {"compression": "zstd"})
 
 
 def encoded(docs: DataFrame, words: Words) -> DataFrame:

@@ -181,6 +181,17 @@ def test_same_scores_for_any_pieces(spark, monkeypatch):
     assert all(got[i]["n_tokens"] == whole[i]["n_tokens"] and got[i]["n_once"] == whole[i]["n_once"] and got[i]["pll"] == pytest.approx(whole[i]["pll"], rel=1e-5) for i in got)
 
 
+def test_piece_of_many_words(spark):
+    """More words in a piece than 16 bits can number."""
+    n = 70_000
+    df = docs(spark, [(1, " ".join(f"{i:x}" for i in range(n))), (2, "0 11170 1116f")]).repartition(1)
+    assert {r["word"]: r["n"] for r in lm.counted(df).collect()} == Counter([f"{i:x}" for i in range(n)] + ["0", "11170", "1116f"])
+    words = words_of({f"{i:x}": 1 for i in range(n)})
+    got = {r["doc_id"]: (np.frombuffer(r["ids"], dtype="<u2").tolist(), r["rare"]) for r in lm.encoded(df, words).collect()}
+    for i, text in ((1, [f"{i:x}" for i in range(n)]), (2, ["0", "11170", "1116f"])):
+        assert got[i] == ([words[w] for w in text], [w for w in text if w not in words.known])
+
+
 @pytest.mark.parametrize("scale", [0.5, 30])
 def test_layer(scale):
     """Logits, sums and gradients as with plain sums, also where an exponential would leave the floats."""
